@@ -99,7 +99,7 @@ class MergeReplay:
                         index[rank] = positions[at + 1 :]
                         heappush(heap, rank)
                     break
-        return [tuple(t for t in token[a:b] if t >= 0) for a, b in zip(starts, [*starts[1:], n], strict=True)]
+        return [tuple(t for t in token[a:b] if t >= 0) for a, b in zip(starts, [*starts, n][1:], strict=True)]
 
     def encode_batch(self, texts: Iterable[str]) -> Iterator[list[int]]:
         """The ids of each text, in order."""
