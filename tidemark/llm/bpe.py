@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose encodings a worker keeps between batches.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 800_000
 #: Token pairs whose merge a worker keeps.
 MEMO_PAIRS = 1_000_000
 
