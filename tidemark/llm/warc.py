@@ -102,7 +102,7 @@ def stream(path: str) -> Iterator[bytes]:
 def _create(path: str):
     system, where = fs.FileSystem.from_uri(path)
     system.create_dir(where.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(where)
+    return system.open_output_stream(where, compression=None)  # else a name in .gz is packed once more
 
 
 def _per_task(f: Callable[[str, Iterator[pa.RecordBatch]], list[tuple]], kinds: list[tuple[str, pa.DataType]]):
