@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, read
+from tidemark.llm.common import bound_batches, held_out, read
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.langid import predict, train
+
+    bound_batches(spark)
+    docs = read(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 5)
+    model = train(docs.filter(~out))
+    return docs.select("doc_id", out.alias("held_out"), predict(model, F.col("text")).alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.chat import format_trees, read_back, threads
 
@@ -42,7 +52,17 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_chat, op5_exact_dedup, op6_warc)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import score, train
+
+    bound_batches(spark)
+    docs = read(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 5)
+    model = train(docs, read(spark, sf_dir, "labels").filter(~out))
+    return docs.select("doc_id", out.alias("held_out"), score(model, F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_language_id, op4_chat, op5_exact_dedup, op6_warc, op9_quality)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
