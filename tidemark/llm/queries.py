@@ -23,6 +23,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.packing import cut, pack
+
+    bound_batches(spark)
+    return pack(cut(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.langid import predict, train
 
@@ -62,7 +71,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", out.alias("held_out"), score(model, F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_language_id, op4_chat, op5_exact_dedup, op6_warc, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_language_id, op4_chat, op5_exact_dedup, op6_warc, op9_quality)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
