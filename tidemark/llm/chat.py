@@ -60,9 +60,9 @@ def reply_paths(messages: DataFrame, ws: Workspace, top: int = 1) -> DataFrame:
     rooted = state.filter("up is null")
     leaves = rooted.join(parents, ["tree", "node"], "left_anti")
     ranked = leaves.withColumn("place", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))).filter(F.col("place") <= top)
-    path = ranked.select("tree", F.col("node").alias("leaf"), "node")
-    for jump in reversed(jumps):
-        path = path.unionByName(path.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node")))
+    path = ws.stage(ranked.select("tree", F.col("node").alias("leaf"), "node"), "path")
+    for k, jump in reversed(list(enumerate(jumps))):  # staged each time, as every step reads the one before twice
+        path = ws.stage(path.unionByName(path.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"))), f"path-{k}")
     return path.join(rooted.select("tree", "node", "depth"), ["tree", "node"]).select("tree", "leaf", "depth", "node")
 
 

@@ -61,6 +61,15 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ctw import score
+
+    bound_batches(spark)
+    docs = read(spark, sf_dir, "documents")
+    found = score(docs, ~held_out(F.col("doc_id"), 10))
+    return found.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality import score, train
 
@@ -71,7 +80,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", out.alias("held_out"), score(model, F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_language_id, op4_chat, op5_exact_dedup, op6_warc, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_language_id, op4_chat, op5_exact_dedup, op6_warc, op7_lm_score, op9_quality)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
