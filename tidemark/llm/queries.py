@@ -70,6 +70,13 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ngram_join import ngram_components
+
+    bound_batches(spark)
+    return ngram_components(read(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality import score, train
 
@@ -87,7 +94,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"), 0.9)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_language_id, op4_chat, op5_exact_dedup, op6_warc, op7_lm_score, op9_quality, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_language_id, op4_chat, op5_exact_dedup, op6_warc, op7_lm_score, op8_ngram_join, op9_quality, op10_embedding_dedup)}
 
 ORACLE_SQL = {
     "op10_embedding_dedup": """
