@@ -19,6 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,10 +53,11 @@ def coded(documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return code[inside], np.concatenate(([0], np.cumsum(lengths - DEPTH)[:-1]))
 
 
-def blocks(documents: list[list[bytes]]):
-    """Documents in runs of bounded bytes."""
+def blocks(texts: pa.ChunkedArray):
+    """The words of texts, in runs of bounded bytes; a chunk's words are never held all at once."""
     held, size = [], 0
-    for words in documents:
+    for text in texts:
+        words = words_of(text.as_py())
         held.append(words)
         size += sum(map(len, words)) + len(words)
         if size > CODED_BYTES:
@@ -67,13 +69,10 @@ def blocks(documents: list[list[bytes]]):
 
 def counts_of_chunk(docs: pa.Table) -> pa.Table:
     """The chunk's distinct strings and words, with their counts in its training documents (0: elsewhere only)."""
-    learn = np.array(docs["learn"].to_pylist(), bool)
-    documents = [words_of(t) for t in docs["text"].to_pylist()]
     codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     words: Counter[bytes] = Counter()
     for on in (True, False):
-        chosen = [d for d, x in zip(documents, learn, strict=True) if x == on]
-        for block in blocks(chosen):
+        for block in blocks(docs.filter(pc.equal(docs["learn"], on))["text"]):
             code, n = np.unique(coded(block)[0], return_counts=True)
             both, at = np.unique(np.concatenate((codes, code)), return_inverse=True)
             counts = np.bincount(at, weights=np.concatenate((counts, n * on)), minlength=len(both)).astype(np.int64)
@@ -237,10 +236,10 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         names = values["word"].filter(pa.array(~is_code)).to_pylist()
         base = dict(zip(names, (np.log10(c + 0.1) - floor).tolist(), strict=True))
         fresh = {w for w, x in zip(names, c.tolist(), strict=True) if x == 0}
+        del names, values
         end = float(np.log10(ends + 0.1) - floor)
-        documents = [words_of(t) for t in docs["text"].to_pylist()]
         out: list[tuple] = []
-        for block in blocks(documents):
+        for block in blocks(docs["text"]):
             strings, start = coded(block)
             sums = np.add.reduceat(logs[np.searchsorted(code, strings)], start)
             sizes = np.diff(np.append(start, len(strings)))
