@@ -22,6 +22,7 @@ Copies (equal sets) are one node. The result is each document's component, not t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,6 @@ PARTS, ORDERS = 4, 2
 #: Words whose hashes a worker keeps; contents that a task holds before it passes them on; how often a task sees a content before it is joined there.
 MEMO_WORDS, HELD_ROWS, LOCAL = 500_000, 1_500_000, 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)  # fixed values: odd multipliers
-_memo: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,27 +47,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's word n-grams; of fewer words than that, of their sequence."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_memo) > MEMO_WORDS:
-        _memo.clear()
-    for w in set(words).difference(_memo):
-        _memo[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
-    n = min(width, len(words))
-    total = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        total = mix(total + h[k : len(h) - n + 1 + k] * _ODD[k % len(_ODD)] + np.uint64(k))
-    return np.unique(total)
-
-
-def node_of(grams: np.ndarray) -> int:
-    """The identity of a set."""
-    sums = np.array([mix(grams).sum(), mix(grams ^ _ODD[0]).sum(), len(grams)], np.uint64)
-    return int((sums * _ODD[:3]).sum().astype(np.int64))
+class WordHashes(dict):
+    """64-bit hashes by word."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_hash_of = WordHashes().__getitem__
+
+
+class Sets:
+    """The n-gram sets of some texts: sorted distinct hashes, one set after the other."""
+
+    def __init__(self, texts: list[str | None], width: int):
+        split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        lengths = np.array([len(w) for w in split], np.int64)
+        h = np.fromiter(map(_hash_of, chain.from_iterable(split)), np.uint64, int(lengths.sum()))
+        grams = np.full(max(len(h) - width + 1, 0), width, np.uint64)
+        for k in range(width):
+            grams += h[k : k + len(grams)] * _ODD[k % len(_ODD)]
+        grams = mix(grams)
+        parts, at = [], 0
+        for n in lengths.tolist():
+            if n >= width:
+                one = np.sort(grams[at : at + n - width + 1])
+                parts.append(one[np.concatenate(([True], one[1:] != one[:-1]))])
+            elif n:  # the whole sequence as one
+                parts.append(mix(np.array([n], np.uint64) + (h[at : at + n] * _ODD[:n]).sum(dtype=np.uint64)))
+            else:
+                parts.append(grams[:0])
+            at += n
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.grams = np.concatenate(parts) if parts else grams
+        self.start = np.concatenate(([0], np.cumsum(self.sizes)[:-1])) if parts else np.zeros(0, np.int64)
+        self.some = np.flatnonzero(self.sizes)  # the texts that have words
+
+    def nodes(self) -> np.ndarray:
+        """The identity of each set that isn't empty."""
+        first = self.start[self.some]
+        if not len(first):
+            return np.zeros(0, np.int64)
+        sums = [np.add.reduceat(mix(self.grams ^ x), first) * _ODD[k] for k, x in enumerate((_ODD[0], _ODD[1]))]
+        return (sums[0] + sums[1] + self.sizes[self.some].astype(np.uint64) * _ODD[2]).view(np.int64)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.grams[self.start[i] : self.start[i] + self.sizes[i]]
 
 
 class Cuts:
@@ -99,33 +127,47 @@ class Cuts:
         return h + 2 + -(-3 * h // 100) if h else 0
 
 
-def contents(grams: np.ndarray, cuts: Cuts) -> np.ndarray:
-    """Hashes of the set's fragments on the levels of its class and the next."""
-    out = []
-    own = cuts.class_of(len(grams))
-    for level in (own, own + 1):
-        m, h = cuts.fragments(level), cuts.differ(level)
-        if not m:  # linked sets are equal
-            continue
+def contents(sets: Sets, chosen: np.ndarray, cuts: Cuts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the chosen sets' fragments on the levels of their class and the next, and each one's place in chosen."""
+    sizes = sets.sizes[chosen]
+    own = np.array([cuts.class_of(int(n)) for n in sizes], np.int64)
+    flat = np.concatenate([sets.of(i) for i in chosen.tolist()]) if len(chosen) else sets.grams[:0]
+    out, owner = [], []
+    for up in (0, 1):
+        level = own + up
+        m = np.array([cuts.fragments(int(k)) for k in level], np.uint64)
+        h = np.array([cuts.differ(int(k)) for k in level], np.int64)
+        left = np.flatnonzero(m)  # linked sets of the others are equal
         for order in range(ORDERS):
-            key = grams if order == 0 else np.sort(mix(grams + _ODD[3] * np.uint64(order)))
-            place = ((key >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-            sums = np.add.reduceat(mix(key ^ _ODD[4]), first)
-            out.append(mix(sums + place[first] * _ODD[5] + np.array([level * 16 + order], np.uint64) * _ODD[6]))
-            if len(first) > h:
+            if not len(left):
                 break
-        else:
-            out.append(mix(np.array([level * 16 + 15], np.uint64) * _ODD[7]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            keep = np.isin(np.arange(len(chosen)), left)
+            who = np.repeat(np.arange(len(chosen)), sizes)
+            key, who = flat[keep[who]], who[keep[who]]
+            if order:
+                key = mix(key + _ODD[3] * np.uint64(order))
+                by = np.lexsort((key, who))
+                key, who = key[by], who[by]
+            place = ((key >> np.uint64(32)) * m[who]) >> np.uint64(32)
+            first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (who[1:] != who[:-1]))))
+            sums = np.add.reduceat(mix(key ^ _ODD[4]), first)
+            lead = who[first]
+            out.append(mix(sums + place[first] * _ODD[5] + (level[lead] * 16 + order).astype(np.uint64) * _ODD[6]))
+            owner.append(lead)
+            filled = np.bincount(lead, minlength=len(chosen))
+            left = left[filled[left] <= h[left]]
+        if len(left):
+            out.append(mix((level[left] * 16 + 15).astype(np.uint64) * _ODD[7]))
+            owner.append(left)
+    return (np.concatenate(out), np.concatenate(owner)) if out else (sets.grams[:0], np.zeros(0, np.int64))
 
 
 POSTS = "content long, salt int, node long, n int, pivot long"
 
 
 def _starred(content: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Rows for the shuffle: contents that occur LOCAL times or more are joined to their least node here."""
-    order = np.lexsort((node, content))
+    """Rows for the shuffle: contents that occur LOCAL times or more are joined to their first node here."""
+    order = np.argsort(content, kind="stable")
     content, node, n = content[order], node[order], n[order]
     first = np.flatnonzero(np.concatenate(([True], content[1:] != content[:-1]))) if len(content) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(first, len(content)))
@@ -150,31 +192,30 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["id", "n", "node"])
+            sets = Sets(batch.column(1).to_pylist(), width)
+            node = np.zeros(len(sets.sizes), np.int64)
+            node[sets.some] = sets.nodes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.sizes), pa.array(node, mask=sets.sizes == 0)], names=["id", "n", "node"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, seen = Cuts(num, den), set()
-        held: list[tuple] = []
-        count = 0
+        cuts, seen, held, count = Cuts(num, den), set(), [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                grams = shingles(text, width)
-                if not len(grams) or (node := node_of(grams)) in seen:
-                    continue
-                seen.add(node)
-                found = contents(grams, cuts)
-                held.append((found, node, len(grams)))
-                count += len(found)
-                if count > HELD_ROWS:
-                    yield flush(held)
-                    held, count, seen = [], 0, set()
+            sets = Sets(batch.column(0).to_pylist(), width)
+            nodes = sets.nodes()
+            fresh = []
+            for at, node in enumerate(nodes.tolist()):
+                if node not in seen:
+                    seen.add(node)
+                    fresh.append(at)
+            nodes, chosen = nodes[fresh], sets.some[fresh]
+            found, owner = contents(sets, chosen, cuts)
+            held.append((found, nodes[owner], sets.sizes[chosen][owner].astype(np.int32)))
+            count += len(found)
+            if count > HELD_ROWS:
+                yield _starred(*map(np.concatenate, zip(*held, strict=True)))
+                seen, held, count = set(), [], 0
         if held:
-            yield flush(held)
-
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        sizes = [len(c) for c, _, _ in held]
-        return _starred(np.concatenate([c for c, _, _ in held]), np.repeat(np.array([x for _, x, _ in held], np.int64), sizes), np.repeat(np.array([x for _, _, x in held], np.int32), sizes))
+            yield _starred(*map(np.concatenate, zip(*held, strict=True)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by content, those whose content has two nodes or more, with the least node as pivot."""
@@ -213,18 +254,16 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, part, grams, size = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                found = shingles(text, width)
-                if not len(found):
-                    continue
-                place = ((found >> np.uint64(32)) * np.uint64(PARTS)) >> np.uint64(32)
-                me = node_of(found)
+            sets = Sets(batch.column(0).to_pylist(), width)
+            node, part, grams = [], [], []
+            for i, me in zip(sets.some.tolist(), sets.nodes().tolist(), strict=True):
+                found = sets.of(i)
+                edge = np.searchsorted(((found >> np.uint64(32)) * np.uint64(PARTS)) >> np.uint64(32), np.arange(PARTS + 1, dtype=np.uint64))
                 for p in range(PARTS):
                     node.append(me)
                     part.append(p)
-                    grams.append(found[place == p].view(np.int64))
-                    size.append(len(found))
+                    grams.append(found[edge[p] : edge[p + 1]].view(np.int64))
+            size = np.repeat(sets.sizes[sets.some], PARTS)
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(part, pa.int32()), pa.array(grams, pa.list_(pa.int64())), pa.array(size, pa.int32())], names=["node", "part", "grams", "n"])
 
     spelt = rows.join(chosen, rows.id.eqNullSafe(chosen.id), "left_semi").select("text").mapInArrow(spell, "node long, part int, grams array<long>, n int")
@@ -244,15 +283,34 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
     edges = tested.filter("linked").select("a", "b")
     component = ws.stage(connected_components(edges, ws), "first-components")
 
-    # Contents of which a comparison failed: their members that are in different components, pair by pair.
+    # Contents of which a comparison failed: their members go on while they are in different components. First each is
+    # compared with the most central one, that with the most contents it shares with others for its size.
     failed = tested.filter("not linked")
     open_contents = lists.filter("node <> pivot").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}).join(failed, ["a", "b"], "left_semi").select("content").distinct()
     members = lists.join(open_contents, "content", "left_semi")
-    members = members.select("content", "node").union(members.select("content", "pivot")).distinct().join(component, "node", "left").join(size, "node").select("content", "node", "n", F.coalesce("component", "node").alias("component"))
-    members = ws.stage(members, "open")
-    other = members.select("content", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("other"))
-    near = (F.col("n") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("n") * num)
-    rest = members.withColumnRenamed("node", "a").join(other, "content").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & near).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    members = ws.stage(members.select("content", "node").union(members.select("content", "pivot")).distinct(), "members")
+    shared = members.groupBy("node").count().join(size, "node").select("node", "n", (F.col("count") / F.col("n")).alias("central"))
+    # n-grams that no other open set has can't be common to any pair: they bound what can.
+    own = spelt.join(members.select("node").distinct(), "node", "left_semi").select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("sets"), F.min("node").alias("node")).filter("sets = 1").groupBy("node").agg(F.count("*").alias("own"))
+    shared = ws.stage(shared.join(own, "node", "left").select("node", "n", "central", (F.col("n") - F.coalesce("own", F.lit(0))).cast("int").alias("common")), "shared")
+    able = lambda a, b, mine, its: (F.col(mine) * (num + den) >= (F.col(a) + F.col(b)) * num) & (F.col(its) * (num + den) >= (F.col(a) + F.col(b)) * num)
+
+    def open_members() -> DataFrame:
+        return members.join(shared, "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node")).filter(F.col("common") * den >= F.col("n") * num)
+
+    here = ws.stage(open_members(), "open-0")
+    middle = here.groupBy("content").agg(F.max(F.struct("central", "node", "n", "common", "component")).alias("m")).select("content", F.col("m.node").alias("pivot"), F.col("m.n").alias("pn"), F.col("m.common").alias("pc"), F.col("m.component").alias("other"))
+    again = here.join(middle, "content").filter((F.col("component") != F.col("other")) & able("n", "pn", "common", "pc")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    second = ws.stage(overlaps(again), "tested-again")
+    component = ws.stage(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second.filter("linked").select("a", "b")), ws, "again"), "second-components")
+
+    # What is left, pair by pair.
+    here = ws.stage(open_members(), "open-1")
+    split = here.groupBy("content").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("content")
+    here = here.join(split, "content", "left_semi")
+    it = here.select("content", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("component").alias("other"))
+    rest = here.withColumnRenamed("node", "a").join(it, "content").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & able("n", "nb", "common", "cb")).select("a", "b").distinct()
+    rest = rest.join(tested.select("a", "b").union(second.select("a", "b")), ["a", "b"], "left_anti")
     more = ws.stage(overlaps(rest), "rest").filter("linked").select("a", "b")
     if more.limit(1).count():
         component = ws.stage(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), ws, "all"), "components")
