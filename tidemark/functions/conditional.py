@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def if_(condition: Column, a, b) -> Column:
@@ -49,7 +50,7 @@ def inet_ntoa(n: Column) -> Column:
     return F.when(x.between(0, 2**32 - 1), F.concat_ws(".", *(F.shiftright(x, k).bitwiseAND(F.lit(255)).cast("string") for k in (24, 16, 8, 0))))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_ipv6(s: pd.Series) -> pd.Series:
     import ipaddress
 
@@ -65,7 +66,7 @@ def is_ipv6(s: pd.Series) -> pd.Series:
     return s.map(ok)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def inet6_aton(s: pd.Series) -> pd.Series:
     import ipaddress
 
@@ -78,7 +79,7 @@ def inet6_aton(s: pd.Series) -> pd.Series:
     return s.map(pack)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def inet6_ntoa(b: pd.Series) -> pd.Series:
     import ipaddress
 
@@ -137,7 +138,7 @@ def aes_decrypt(b: Column, key: str) -> Column:
     return F.try_aes_decrypt(b, F.lit(fold_key(key.encode())), F.lit("ECB"), F.lit("PKCS"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def compress(s: pd.Series) -> pd.Series:
     import zlib
 
@@ -150,7 +151,7 @@ def compress(s: pd.Series) -> pd.Series:
     return s.map(pack)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def uncompress(b: pd.Series) -> pd.Series:
     import zlib
 
