@@ -42,7 +42,8 @@ def inet_aton(s: Column) -> Column:
         part = F.try_element_at(parts, F.lit(k + 1)).try_cast("long")
         place = F.when(F.lit(k + 1) == n, F.lit(1)).otherwise(F.lit(256 ** (3 - k)))
         value = value + F.when(F.lit(k) < n, part * place).otherwise(F.lit(0))
-    return F.when(s.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){0,3}$"), value)
+    fits = F.forall(F.transform(parts, lambda p: p.try_cast("int")), lambda p: p <= 255)
+    return F.when(s.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){0,3}$") & fits, value)
 
 
 def inet_ntoa(n: Column) -> Column:

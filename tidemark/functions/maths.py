@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def modulo(a: Column, b: Column) -> Column:
 def truncate(x: Column, digits: int) -> Column:
     """TRUNCATE: toward zero; negative digits cut before the point."""
     d = x.cast("decimal(30,10)")
-    shift = F.lit(10**abs(digits)).cast("decimal(20,0)")
+    shift = F.lit(Decimal(10 ** abs(digits)))
     if digits >= 0:
         return (F.sign(d) * F.floor(F.abs(d) * shift) / shift).cast("double")
     return (F.sign(d) * F.floor(F.abs(d) / shift) * shift).cast("double")
@@ -72,7 +74,7 @@ def cot(x: Column) -> Column:
 def unsigned(x: Column) -> Column:
     """A signed 64-bit number read as unsigned."""
     d = x.cast("decimal(20,0)")
-    return F.when(x < 0, d + F.lit(2**64).cast("decimal(20,0)")).otherwise(d)
+    return F.when(x < 0, d + F.lit(Decimal(2**64))).otherwise(d)
 
 
 def bit_not(x: Column) -> Column:
@@ -106,7 +108,7 @@ def xor(a: Column, b: Column) -> Column:
 
 def bit_and_agg(x: Column) -> Column:
     """BIT_AND over a group: all ones without a value."""
-    return F.coalesce(unsigned(F.bit_and(x)), F.lit(2**64 - 1).cast("decimal(20,0)"))
+    return F.coalesce(unsigned(F.bit_and(x)), F.lit(Decimal(2**64 - 1)))
 
 
 def bit_or_agg(x: Column) -> Column:

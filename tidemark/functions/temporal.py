@@ -24,7 +24,7 @@ def from_days(n: Column) -> Column:
 
 def time_of(ts: Column) -> Column:
     """TIME(ts) in microseconds."""
-    return F.hour(ts).cast("long") * HOUR + F.minute(ts) * MINUTE + F.floor(F.extract(F.lit("SECOND"), ts) * SECOND).cast("long")
+    return F.hour(ts).cast("long") * HOUR + F.minute(ts).cast("long") * MINUTE + F.floor(F.extract(F.lit("SECOND"), ts) * SECOND).cast("long")
 
 
 def to_seconds(ts: Column) -> Column:
@@ -214,6 +214,8 @@ def date_add(ts: Column, amount: int | str, unit: str) -> Column:
     if unit in COMPOUND:
         numbers = re.findall(r"\d+", str(amount))
         sign, names = -1 if str(amount).strip().startswith("-") else 1, COMPOUND[unit][-len(numbers) :]
+        if unit == "YEAR_MONTH":
+            return date_add(ts, sign * sum(int(n) * _MONTHS[name] for n, name in zip(numbers, names, strict=True)), "MONTH")
         return reduce(lambda c, p: date_add(c, sign * int(p[0]), p[1]), zip(numbers, names, strict=True), ts)
     if unit in _MONTHS:
         return ts + F.make_ym_interval(F.lit(0), F.lit(int(amount) * _MONTHS[unit]))
