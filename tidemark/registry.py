@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register queries when imported.
-MODULES = ("scans", "relational", "scalar", "documents")
+MODULES = ("scans", "relational", "scalar", "documents", "changes", "extensions")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
