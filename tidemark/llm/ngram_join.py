@@ -35,6 +35,8 @@ from tidemark.llm.components import connected_components
 
 #: Fragments that overlaps are counted in; orders that a set is cut by before it meets all of its class.
 PARTS, ORDERS = 4, 2
+#: Powers of the threshold that a size class spans.
+WIDTH = 3
 #: Words whose hashes a worker keeps; contents that a task holds before it passes them on; how often a task sees a content before it is joined there.
 MEMO_WORDS, HELD_ROWS, LOCAL = 500_000, 1_500_000, 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)  # fixed values: odd multipliers
@@ -99,7 +101,11 @@ class Sets:
 
 
 class Cuts:
-    """Size classes and numbers of fragments for one threshold."""
+    """Size classes and numbers of fragments for one threshold.
+
+    A class spans sizes up to 1 / threshold ** WIDTH apart: wider ones need more fragments, narrower ones more sets that
+    reach into the next class.
+    """
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.bounds = num, den, [1]
@@ -108,7 +114,9 @@ class Cuts:
         """The least size of class k."""
         while len(self.bounds) <= k:
             last = self.bounds[-1]
-            self.bounds.append(max(last + 1, -(-last * self.den // self.num)))
+            for _ in range(WIDTH):
+                last = max(last + 1, -(-last * self.den // self.num))
+            self.bounds.append(last)
         return self.bounds[k]
 
     def class_of(self, size: int) -> int:
@@ -117,6 +125,10 @@ class Cuts:
             k += 1
         return k
 
+    def reaches(self, size: int) -> bool:
+        """Whether a set of this size can be linked with one of the next class."""
+        return size * self.den >= self.limit(self.class_of(size) + 1) * self.num
+
     def differ(self, k: int) -> int:
         """The most n-grams in which two linked sets that meet on level k can differ."""
         both = 2 * (self.limit(k + 1) - 1)
@@ -128,7 +140,7 @@ class Cuts:
 
 
 def contents(sets: Sets, chosen: np.ndarray, cuts: Cuts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the chosen sets' fragments on the levels of their class and the next, and each one's place in chosen."""
+    """Hashes of the chosen sets' fragments on the level of their class and, where they reach it, the next; each one's place in chosen."""
     sizes = sets.sizes[chosen]
     own = np.array([cuts.class_of(int(n)) for n in sizes], np.int64)
     flat = np.concatenate([sets.of(i) for i in chosen.tolist()]) if len(chosen) else sets.grams[:0]
@@ -137,6 +149,8 @@ def contents(sets: Sets, chosen: np.ndarray, cuts: Cuts) -> tuple[np.ndarray, np
         level = own + up
         m = np.array([cuts.fragments(int(k)) for k in level], np.uint64)
         h = np.array([cuts.differ(int(k)) for k in level], np.int64)
+        if up:
+            m *= np.array([cuts.reaches(int(n)) for n in sizes], np.uint64)
         left = np.flatnonzero(m)  # linked sets of the others are equal
         for order in range(ORDERS):
             if not len(left):
@@ -162,19 +176,18 @@ def contents(sets: Sets, chosen: np.ndarray, cuts: Cuts) -> tuple[np.ndarray, np
     return (np.concatenate(out), np.concatenate(owner)) if out else (sets.grams[:0], np.zeros(0, np.int64))
 
 
-POSTS = "content long, salt int, node long, n int, pivot long"
+POSTS = "content long, node long, pivot long"
 
 
-def _starred(content: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Rows for the shuffle: contents that occur LOCAL times or more are joined to their first node here."""
+def _starred(content: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """Rows for the shuffle: contents that occur LOCAL times or more are joined to their first node here (pivot)."""
     order = np.argsort(content, kind="stable")
-    content, node, n = content[order], node[order], n[order]
+    content, node = content[order], node[order]
     first = np.flatnonzero(np.concatenate(([True], content[1:] != content[:-1]))) if len(content) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(first, len(content)))
     pivot = np.repeat(node[first], sizes)
     local = (np.repeat(sizes, sizes) >= LOCAL) & (node != pivot)
-    salt = np.where(local, 1 + (mix(node.view(np.uint64)) % np.uint64(1000)).astype(np.int32), 0)
-    return pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(salt, pa.int32()), pa.array(node), pa.array(n, pa.int32()), pa.array(pivot, mask=~local)], names=["content", "salt", "node", "n", "pivot"])
+    return pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(node), pa.array(pivot, mask=~local)], names=["content", "node", "pivot"])
 
 
 def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,7 +222,7 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
                     fresh.append(at)
             nodes, chosen = nodes[fresh], sets.some[fresh]
             found, owner = contents(sets, chosen, cuts)
-            held.append((found, nodes[owner], sets.sizes[chosen][owner].astype(np.int32)))
+            held.append((found, nodes[owner]))
             count += len(found)
             if count > HELD_ROWS:
                 yield _starred(*map(np.concatenate, zip(*held, strict=True)))
@@ -218,38 +231,34 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
             yield _starred(*map(np.concatenate, zip(*held, strict=True)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by content, those whose content has two nodes or more, with the least node as pivot."""
-        last = None  # the first row of the content that the last batch ended in, and whether it has been given out
+        """Of rows sorted by content, those whose content has two nodes or more."""
+        last = None  # content, node of the row that leads the last batch's last group, and whether it has been given out
         for batch in batches:
-            content, salt, node, n, pivot = (batch.column(k) for k in range(5))
-            c, s, x, n = content.to_numpy(), salt.to_numpy(), node.to_numpy(), n.to_numpy()
-            out = [(c[s > 0], x[s > 0], n[s > 0], pivot.filter(pa.array(s > 0)).to_numpy())]
-            c, x, n = c[s == 0], x[s == 0], n[s == 0]
+            c, x, local = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            out = [(c[local], x[local])]
+            c, x = c[~local], x[~local]
             if len(c):
                 if last is not None:
-                    c, x, n = np.append(last[0], c), np.append(last[1], x), np.append(last[2], n)
+                    c, x = np.append(last[0], c), np.append(last[1], x)
                 first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-                sizes = np.diff(np.append(first, len(c)))
-                lead = np.repeat(x[first], sizes)
-                other = x != lead
-                # A group's first row goes out with its first other one.
+                other = x != np.repeat(x[first], np.diff(np.append(first, len(c))))
                 shared = np.maximum.reduceat(other, first)
-                whole = np.zeros(len(c), bool)
-                whole[first] = shared
-                if last is not None and last[3]:
-                    whole[0] = False
-                out.append((c[other | whole], x[other | whole], n[other | whole], lead[other | whole]))
-                given = bool(shared[-1]) or (len(first) == 1 and last is not None and last[3])
-                last = (c[first[-1]], x[first[-1]], n[first[-1]], given)
-            columns = [np.concatenate(p) for p in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["content", "node", "n", "pivot"])
+                lead = np.zeros(len(c), bool)
+                lead[first] = shared  # a group's first row goes out with its first other one
+                if last is not None and last[2]:
+                    lead[0] = False
+                out.append((c[other | lead], x[other | lead]))
+                given = bool(shared[-1]) or (len(first) == 1 and last is not None and last[2])
+                last = (c[first[-1]], x[first[-1]], given)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*out, strict=True)], names=["content", "node"])
 
     sets = ws.stage(rows.mapInArrow(measure, f"id {kind}, n long, node long"), "sets")
-    posts = rows.select("text").mapInArrow(post, POSTS).repartition(F.col("content"), F.col("salt")).sortWithinPartitions("content", "salt", "node")
-    lists = ws.stage(posts.mapInArrow(meet, "content long, node long, n int, pivot long"), "lists")
+    salt = F.when(F.col("pivot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.lit(1000))).cast("int")
+    posts = rows.select("text").mapInArrow(post, POSTS).repartition(F.col("content"), salt).sortWithinPartitions("content", "node")
+    lists = ws.stage(posts.mapInArrow(meet, "content long, node long"), "lists")
 
     # The n-grams of the nodes that meet others, by fragment of the order.
-    nodes = lists.select("node").union(lists.select("pivot")).distinct()
+    nodes = lists.select("node").distinct()
     chosen = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,40 +286,33 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
         summed = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
         return summed.select("a", "b", (F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num).alias("linked"))
 
-    size = lists.select("node", "n").distinct()
-    star = lists.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    # n-grams that no other of these sets has can't be common to any pair: they bound what can. (By 32 bits of the hash: a
+    # clash counts one as shared, which keeps the bound.) What is left of a set is its share in common.
+    grams = spelt.select("node", F.explode("grams").alias("g")).select("node", F.shiftright("g", 32).cast("int").alias("g")).repartition("g")
+    own = grams.groupBy("g").agg(F.count("*").alias("sets"), F.min("node").alias("node")).filter("sets = 1").groupBy("node").agg(F.count("*").alias("own"))
+    able_nodes = spelt.filter("part = 0").select("node", "n").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).cast("int").alias("common"))
+    able_nodes = ws.stage(able_nodes.filter(F.col("common") * den >= F.col("n") * num), "able")
+    members = ws.stage(lists.join(able_nodes, "node"), "members")
+
+    def able(a: str, b: str, mine: str, its: str):
+        """Whether two sets have enough n-grams that aren't theirs alone to be linked."""
+        need = (F.col(a) + F.col(b)) * num
+        return (F.col(mine) * (num + den) >= need) & (F.col(its) * (num + den) >= need)
+
+    # Star: with the most central set of each content, that with the largest share in common.
+    middle = members.groupBy("content").agg(F.max(F.struct((F.col("common") / F.col("n")).alias("share"), "node", "n", "common")).alias("m"), F.count("*").alias("sets")).filter("sets > 1")
+    middle = middle.select("content", F.col("m.node").alias("pivot"), F.col("m.n").alias("pn"), F.col("m.common").alias("pc"))
+    star = members.join(middle, "content").filter((F.col("node") != F.col("pivot")) & able("n", "pn", "common", "pc")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     tested = ws.stage(overlaps(star), "tested")
-    edges = tested.filter("linked").select("a", "b")
-    component = ws.stage(connected_components(edges, ws), "first-components")
-
-    # Contents of which a comparison failed: their members go on while they are in different components. First each is
-    # compared with the most central one, that with the most contents it shares with others for its size.
-    failed = tested.filter("not linked")
-    open_contents = lists.filter("node <> pivot").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}).join(failed, ["a", "b"], "left_semi").select("content").distinct()
-    members = lists.join(open_contents, "content", "left_semi")
-    members = ws.stage(members.select("content", "node").union(members.select("content", "pivot")).distinct(), "members")
-    shared = members.groupBy("node").count().join(size, "node").select("node", "n", (F.col("count") / F.col("n")).alias("central"))
-    # n-grams that no other open set has can't be common to any pair: they bound what can.
-    own = spelt.join(members.select("node").distinct(), "node", "left_semi").select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("sets"), F.min("node").alias("node")).filter("sets = 1").groupBy("node").agg(F.count("*").alias("own"))
-    shared = ws.stage(shared.join(own, "node", "left").select("node", "n", "central", (F.col("n") - F.coalesce("own", F.lit(0))).cast("int").alias("common")), "shared")
-    able = lambda a, b, mine, its: (F.col(mine) * (num + den) >= (F.col(a) + F.col(b)) * num) & (F.col(its) * (num + den) >= (F.col(a) + F.col(b)) * num)
-
-    def open_members() -> DataFrame:
-        return members.join(shared, "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node")).filter(F.col("common") * den >= F.col("n") * num)
-
-    here = ws.stage(open_members(), "open-0")
-    middle = here.groupBy("content").agg(F.max(F.struct("central", "node", "n", "common", "component")).alias("m")).select("content", F.col("m.node").alias("pivot"), F.col("m.n").alias("pn"), F.col("m.common").alias("pc"), F.col("m.component").alias("other"))
-    again = here.join(middle, "content").filter((F.col("component") != F.col("other")) & able("n", "pn", "common", "pc")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    second = ws.stage(overlaps(again), "tested-again")
-    component = ws.stage(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second.filter("linked").select("a", "b")), ws, "again"), "second-components")
-
-    # What is left, pair by pair.
-    here = ws.stage(open_members(), "open-1")
+    component = ws.stage(connected_components(tested.filter("linked").select("a", "b"), ws), "first-components")
+
+    # What is left: members of one content in different components, pair by pair.
+    here = ws.stage(members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")), "here")
     split = here.groupBy("content").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("content")
     here = here.join(split, "content", "left_semi")
     it = here.select("content", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("component").alias("other"))
     rest = here.withColumnRenamed("node", "a").join(it, "content").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & able("n", "nb", "common", "cb")).select("a", "b").distinct()
-    rest = rest.join(tested.select("a", "b").union(second.select("a", "b")), ["a", "b"], "left_anti")
+    rest = rest.join(tested, ["a", "b"], "left_anti")
     more = ws.stage(overlaps(rest), "rest").filter("linked").select("a", "b")
     if more.limit(1).count():
         component = ws.stage(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), ws, "all"), "components")
