@@ -35,10 +35,12 @@ from tidemark.llm.components import connected_components
 
 #: Fragments that overlaps are counted in; orders that a set is cut by before it meets all of its class.
 PARTS, ORDERS = 4, 2
-#: Powers of the threshold that a size class spans.
-WIDTH = 3
+#: Powers of the threshold that a size class spans; fragments beyond those that can differ, in per cent.
+WIDTH, MARGIN = 3, 22
 #: Words whose hashes a worker keeps; contents that a task holds before it passes them on; how often a task sees a content before it is joined there.
 MEMO_WORDS, HELD_ROWS, LOCAL = 500_000, 1_500_000, 8
+#: Low bits of a content's hash: 1 on odd levels, 2 for the content that all sets of a class have that no order cuts well.
+_FLAGS = np.uint64(3)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)  # fixed values: odd multipliers
 
 
@@ -135,8 +137,16 @@ class Cuts:
         return both * (self.den - self.num) // (self.den + self.num)
 
     def fragments(self, k: int) -> int:
+        """More than can differ, by MARGIN: so linked sets have a share of their fragments in common."""
         h = self.differ(k)
-        return h + 2 + -(-3 * h // 100) if h else 0
+        return h + 2 + -(-h * MARGIN // 100) if h else 0
+
+    def alike(self, size: int) -> tuple[int, int]:
+        """The fragments that a linked set has in common at least, on its level that is even and on that which is odd."""
+        k = self.class_of(size)
+        most = size * self.den // self.num
+        own, above = (max(1, self.differ(level) + 1 - (size + partner) * (self.den - self.num) // (self.den + self.num)) for level, partner in ((k, min(most, self.limit(k + 1) - 1)), (k + 1, most)))
+        return (above, own) if k & 1 else (own, above)
 
 
 def contents(sets: Sets, chosen: np.ndarray, cuts: Cuts) -> tuple[np.ndarray, np.ndarray]:
@@ -166,12 +176,13 @@ def contents(sets: Sets, chosen: np.ndarray, cuts: Cuts) -> tuple[np.ndarray, np
             first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (who[1:] != who[:-1]))))
             sums = np.add.reduceat(mix(key ^ _ODD[4]), first)
             lead = who[first]
-            out.append(mix(sums + place[first] * _ODD[5] + (level[lead] * 16 + order).astype(np.uint64) * _ODD[6]))
+            h64 = mix(sums + place[first] * _ODD[5] + (level[lead] * 16 + order).astype(np.uint64) * _ODD[6])
+            out.append((h64 & ~_FLAGS) | (level[lead] & 1).astype(np.uint64))
             owner.append(lead)
             filled = np.bincount(lead, minlength=len(chosen))
             left = left[filled[left] <= h[left]]
         if len(left):
-            out.append(mix((level[left] * 16 + 15).astype(np.uint64) * _ODD[7]))
+            out.append((mix((level[left] * 16 + 15).astype(np.uint64) * _ODD[7]) & ~_FLAGS) | np.uint64(2))
             owner.append(left)
     return (np.concatenate(out), np.concatenate(owner)) if out else (sets.grams[:0], np.zeros(0, np.int64))
 
@@ -182,11 +193,13 @@ POSTS = "content long, node long, pivot long"
 def _starred(content: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
     """Rows for the shuffle: contents that occur LOCAL times or more are joined to their first node here (pivot)."""
     order = np.argsort(content, kind="stable")
-    content, node = content[order], node[order]
-    first = np.flatnonzero(np.concatenate(([True], content[1:] != content[:-1]))) if len(content) else np.zeros(0, np.int64)
+    sorted_ = content[order]
+    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(content) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(first, len(content)))
-    pivot = np.repeat(node[first], sizes)
-    local = (np.repeat(sizes, sizes) >= LOCAL) & (node != pivot)
+    pivot, local = np.empty_like(node), np.empty(len(node), bool)  # rows stay by set, which packs well
+    pivot[order] = np.repeat(node[order[first]], sizes)
+    local[order] = np.repeat(sizes, sizes) >= LOCAL
+    local &= node != pivot
     return pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(node), pa.array(pivot, mask=~local)], names=["content", "node", "pivot"])
 
 
@@ -204,11 +217,13 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
     kind = rows.schema["id"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = Cuts(num, den)
         for batch in batches:
             sets = Sets(batch.column(1).to_pylist(), width)
             node = np.zeros(len(sets.sizes), np.int64)
             node[sets.some] = sets.nodes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.sizes), pa.array(node, mask=sets.sizes == 0)], names=["id", "n", "node"])
+            alike = np.array([cuts.alike(n) if n else (0, 0) for n in sets.sizes.tolist()], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.sizes), pa.array(node, mask=sets.sizes == 0), pa.array(alike[:, 0]), pa.array(alike[:, 1])], names=["id", "n", "node", "alike_even", "alike_odd"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, seen, held, count = Cuts(num, den), set(), [], 0
@@ -252,13 +267,19 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
                 last = (c[first[-1]], x[first[-1]], given)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*out, strict=True)], names=["content", "node"])
 
-    sets = ws.stage(rows.mapInArrow(measure, f"id {kind}, n long, node long"), "sets")
+    sets = ws.stage(rows.mapInArrow(measure, f"id {kind}, n long, node long, alike_even long, alike_odd long"), "sets")
     salt = F.when(F.col("pivot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.lit(1000))).cast("int")
     posts = rows.select("text").mapInArrow(post, POSTS).repartition(F.col("content"), salt).sortWithinPartitions("content", "node")
     lists = ws.stage(posts.mapInArrow(meet, "content long, node long"), "lists")
 
+    # A fragment that no other set has differs from any partner's: sets with too few others are linked with none.
+    flag = F.col("content").bitwiseAND(F.lit(3))
+    met = lists.groupBy("node").agg(F.count_if(flag == 0).alias("even"), F.count_if(flag == 1).alias("odd"), F.count_if(flag == 2).alias("free"))
+    needs = sets.filter("node is not null").groupBy("node").agg(F.first("alike_even").alias("alike_even"), F.first("alike_odd").alias("alike_odd"))
+    nodes = ws.stage(met.join(needs, "node").filter("even >= alike_even or odd >= alike_odd or free > 0").select("node"), "nodes")
+    lists = lists.join(nodes, "node", "left_semi")
+
     # The n-grams of the nodes that meet others, by fragment of the order.
-    nodes = lists.select("node").distinct()
     chosen = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
