@@ -49,14 +49,12 @@ class MergeReplay:
         key = left << 32 | right
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
             found = self.pairs[key] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
         return found
 
     def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """The encodings of words, by replaying all merges over all of them at once."""
-        merged = self.merged
+        merged, known = self.merged, self.pairs.get
         token: list[int] = []  # -1 ends a word, -2 is merged into the token before
         starts = []
         for word in words:
@@ -66,9 +64,16 @@ class MergeReplay:
         n = len(token)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         index: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            if token[i] >= 0 and token[i + 1] >= 0 and (rank := merged(token[i], token[i + 1])) >= 0:
-                index.setdefault(rank, []).append(i)
+        for i, (left, right) in enumerate(zip(token, token[1:], strict=False)):
+            if left >= 0 and right >= 0:
+                rank = known(left << 32 | right)
+                if rank is None:
+                    rank = merged(left, right)
+                if rank >= 0:
+                    if rank in index:
+                        index[rank].append(i)
+                    else:
+                        index[rank] = [i]
         heap = list(index)
         heapify(heap)
         while heap:
@@ -78,18 +83,35 @@ class MergeReplay:
                 continue
             positions.sort()
             for at, i in enumerate(positions):
-                if token[i] < 0 or token[j := after[i]] < 0 or merged(token[i], token[j]) != rank:
+                left = token[i]
+                if left < 0 or (right := token[j := after[i]]) < 0 or known(left << 32 | right, -1) != rank:
                     continue
                 token[i], token[j] = rank, -2
                 k = after[i] = after[j]
                 before[k] = i
                 sooner = False
-                for left, right, where in ((before[i], i, before[i]), (i, k, i)):
-                    if left >= 0 and token[left] >= 0 and token[right] >= 0 and (new := merged(token[left], token[right])) >= 0:
+                right = token[k]
+                if right >= 0:
+                    new = known(rank << 32 | right)
+                    if new is None:
+                        new = merged(rank, right)
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(i)
+                        else:
+                            index[new] = [i]
+                            heappush(heap, new)
+                        sooner = new <= rank
+                h = before[i]
+                if h >= 0 and (left := token[h]) >= 0:
+                    new = known(left << 32 | rank)
+                    if new is None:
+                        new = merged(left, rank)
+                    if new >= 0:
                         if new in index:
-                            index[new].append(where)
+                            index[new].append(h)
                         else:
-                            index[new] = [where]
+                            index[new] = [h]
                             heappush(heap, new)
                         sooner |= new <= rank
                 if sooner:  # a merge of this or a lower rank has come up: it may precede what is left here
@@ -106,6 +128,8 @@ class MergeReplay:
         split = [self.split(text) for text in texts]
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
+        if len(self.pairs) > MEMO_PAIRS:
+            self.pairs.clear()
         memo, hard = self.memo, []
         for word in set(chain.from_iterable(split)).difference(memo):
             whole = self.ranks.get(word.encode())
