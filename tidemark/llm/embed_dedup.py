@@ -13,7 +13,7 @@ Every vector is compared, none is sampled or capped; every pair of cosine >= thr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -82,20 +82,33 @@ def box_gap(lo: np.ndarray, hi: np.ndarray, other_lo: np.ndarray, other_hi: np.n
 
 
 class Tile:
-    def __init__(self, node: np.ndarray, size: np.ndarray, turned: np.ndarray, given: np.ndarray):
-        self.node, self.size, self.turned, self.given = node, size, turned, given
+    def __init__(self, node: np.ndarray, size: np.ndarray, turned: np.ndarray, read_given: Callable[[], np.ndarray]):
+        self.node, self.size, self.turned, self._given, self._read = node, size, turned, None, read_given
         squares = np.cumsum((turned**2)[:, ::-1], axis=1)[:, ::-1]
         self.suffix = np.sqrt(np.concatenate((squares, np.zeros((len(turned), 1))), axis=1))
         self.lo, self.hi = turned[:, :LEAD].min(axis=0), turned[:, :LEAD].max(axis=0)
 
+    @property
+    def given(self) -> np.ndarray:
+        """The vectors as they came; read only where a cosine is near the threshold."""
+        if self._given is None:
+            self._given = self._read()
+        return self._given
+
 
 @lru_cache(maxsize=6)
 def load_tile(path: str) -> Tile:
     system, where = fs.FileSystem.from_uri(path)
     files = [f for f in system.get_file_info(fs.FileSelector(where)) if f.base_name.startswith("part-")]
-    t = pa.concat_tables([pq.read_table(f.path, filesystem=system, columns=["node", "size", "turned", "given"], partitioning=None) for f in files])
-    turned, given = (np.stack([np.frombuffer(x, np.float64) for x in t[c].to_pylist()]) for c in ("turned", "given"))
-    return Tile(t["node"].to_numpy(), t["size"].to_numpy(), turned, given)
+
+    def read(*columns: str) -> pa.Table:
+        return pa.concat_tables([pq.read_table(f.path, filesystem=system, columns=list(columns), partitioning=None) for f in files])
+
+    def matrix(t: pa.Table, column: str) -> np.ndarray:
+        return np.frombuffer(b"".join(t[column].to_pylist()), np.float64).reshape(t.num_rows, -1)
+
+    t = read("node", "size", "turned")
+    return Tile(t["node"].to_numpy(), t["size"].to_numpy(), matrix(t, "turned"), lambda: matrix(read("given"), "given"))
 
 
 def linked(a: Tile, b: Tile, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +119,7 @@ def linked(a: Tile, b: Tile, threshold: float, same: bool) -> tuple[np.ndarray,
         return none, none
     product, done = np.zeros((len(a.node), len(b.node))), 0
     while done < width:
-        upto = min(width, max(LEAD, 2 * done))
+        upto = min(width, max(LEAD, width // 4, 2 * done))
         product += a.turned[:, done:upto] @ b.turned[:, done:upto].T
         done = upto
         alive = product + np.multiply.outer(a.suffix[:, done], b.suffix[:, done]) >= threshold - NEAR
