@@ -117,4 +117,16 @@ t AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
     sum(12 + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 11) AS chars
   FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM t""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS b FROM pages),
+d AS (SELECT page_id, t, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: CASE WHEN substr(b, (5 * i + j + 1)::INT, 1) = '1' THEN 16 >> j::INT ELSE 0 END))::INT, 1)), 'string_agg', '') AS payload_digest,
+  min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
+    "op8_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')) END)) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(g) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY doc_id),
+l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT r.a AS doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM r JOIN n ON n.doc_id = r.a GROUP BY r.a, n.n""",
 }
