@@ -37,6 +37,10 @@ from tidemark.llm.components import connected_components
 PARTS, ORDERS = 4, 2
 #: Powers of the threshold that a size class spans; fragments beyond those that can differ, in per cent.
 WIDTH, MARGIN = 3, 22
+#: N-grams of a tile of sets that are compared with each other; columns of a fragment of the order there.
+TILE_GRAMS, FRAGMENT = 200_000, 4096
+#: N-grams that a set counts for besides its own, so that a tile has at most TILE_GRAMS / SET_COST sets.
+SET_COST = 200
 #: Words whose hashes a worker keeps; contents that a task holds before it passes them on; how often a task sees a content before it is joined there.
 MEMO_WORDS, HELD_ROWS, LOCAL = 500_000, 1_500_000, 8
 #: Low bits of a content's hash: 1 on odd levels, 2 for the content that all sets of a class have that no order cuts well.
@@ -327,17 +331,127 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
     tested = ws.stage(overlaps(star), "tested")
     component = ws.stage(connected_components(tested.filter("linked").select("a", "b"), ws), "first-components")
 
-    # What is left: members of one content in different components, pair by pair.
+    # What is left: members of one content in different components. They fall into families (what contents connect); sets
+    # of one family are compared in tiles of bounded size, and only links leave a comparison.
     here = ws.stage(members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")), "here")
-    split = here.groupBy("content").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("content")
-    here = here.join(split, "content", "left_semi")
-    it = here.select("content", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("component").alias("other"))
-    rest = here.withColumnRenamed("node", "a").join(it, "content").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & able("n", "nb", "common", "cb")).select("a", "b").distinct()
-    rest = rest.join(tested, ["a", "b"], "left_anti")
-    more = ws.stage(overlaps(rest), "rest").filter("linked").select("a", "b")
+    split = here.groupBy("content").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("node").alias("lead")).filter("x <> y").select("content", "lead")
+    here = here.join(split, "content")
+    family = connected_components(here.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), ws, "families")
+    left = ws.stage(family.select("node", F.col("component").alias("family")).join(here.select("node", "component", "n", "common").distinct(), "node"), "left")
+    more = ws.stage(_compare_families(left, spelt, num, den), "more")
     if more.limit(1).count():
         component = ws.stage(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), ws, "all"), "components")
 
     placed = ws.stage(sets.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     least = placed.filter("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
     return placed.join(least, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+LINKS = "a long, b long"
+
+
+class Tile:
+    """Some sets of one family: nodes, components, sizes, shares in common and sorted n-grams."""
+
+    def __init__(self, t: pa.Table):
+        self.node, self.component, self.n, self.common = (t[c].to_numpy() for c in ("node", "component", "n", "common"))
+        grams = t["grams"].combine_chunks()
+        grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
+        self.grams = grams.flatten().to_numpy().view(np.uint64)
+        self.owner = np.repeat(np.arange(t.num_rows), np.diff(grams.offsets.to_numpy()))
+
+
+def links_between(a: Tile, b: Tile, num: int, den: int) -> list[tuple[int, int]]:
+    """A forest of the links between sets of two tiles that are in different components.
+
+    Overlaps are counted fragment by fragment of the order of the n-grams that both tiles have, and summed.
+    """
+    need = (a.n[:, None] + b.n[None]) * num
+    open_ = (a.component[:, None] != b.component[None]) & (a.common[:, None] * (num + den) >= need) & (b.common[None] * (num + den) >= need)
+    rows, columns = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    if not len(rows):
+        return []
+    place_a, place_b = np.full(len(a.n), -1), np.full(len(b.n), -1)
+    place_a[rows], place_b[columns] = np.arange(len(rows)), np.arange(len(columns))
+    keep_a, keep_b = place_a[a.owner] >= 0, place_b[b.owner] >= 0
+    shared = np.intersect1d(a.grams[keep_a], b.grams[keep_b])
+    overlap = np.zeros((len(rows), len(columns)), np.float32)
+    sides = []
+    for t, keep, place in ((a, keep_a, place_a), (b, keep_b, place_b)):
+        at = np.searchsorted(shared, t.grams[keep])
+        hit = at < len(shared)
+        hit[hit] = shared[at[hit]] == t.grams[keep][hit]
+        at, who = at[hit], place[t.owner[keep]][hit]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], who[order]))
+    for low in range(0, len(shared), FRAGMENT):
+        parts = []
+        for (at, who), height in zip(sides, (len(rows), len(columns)), strict=True):
+            x, y = np.searchsorted(at, (low, low + FRAGMENT))
+            part = np.zeros((height, min(FRAGMENT, len(shared) - low)), np.float32)
+            part[who[x:y], at[x:y] - low] = 1
+            parts.append(part)
+        overlap += parts[0] @ parts[1].T
+    both = (a.n[rows][:, None] + b.n[columns][None]) - overlap
+    i, j = np.nonzero(open_[np.ix_(rows, columns)] & (overlap * den >= both * num))
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := top.setdefault(x, x)) != x:
+            top[x] = x = top[up] if up in top else up
+        return x
+
+    out = []
+    for x, y in zip(a.node[rows[i]].tolist(), b.node[columns[j]].tolist(), strict=True):
+        u, v = find(x), find(y)
+        if u != v:
+            top[u] = v
+            out.append((x, y))
+    return out
+
+
+def _compare_families(left: DataFrame, spelt: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the sets of left that are of one family and in different components."""
+    grams = spelt.join(left.select("node"), "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("part", "grams"))).alias("g"))  # PARTS rows each
+    sizes = left.groupBy("family").agg(F.sum(F.col("n") + SET_COST).alias("size"))
+    rows = left.join(sizes, "family").join(grams.select("node", F.flatten("g.grams").alias("grams")), "node").select("family", "size", "node", "component", F.col("n").cast("long").alias("n"), F.col("common").cast("long").alias("common"), "grams")
+    result = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def table(links: list[tuple[int, int]]) -> pa.Table:
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=result)
+
+    def within(group: pa.Table) -> pa.Table:
+        """Families that are one tile, some of them together."""
+        group = group.sort_by("family")
+        family = group["family"].to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], family[1:] != family[:-1], [True])))
+        out = []
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            tile = Tile(group.slice(x, y - x))
+            out += links_between(tile, tile, num, den)
+        return table(out)
+
+    bucket = F.pmod(F.xxhash64("family"), F.lit(4096)).cast("int")
+    small = rows.filter(F.col("size") <= TILE_GRAMS).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(within, LINKS)
+
+    # Larger ones: tiles as rows, and pairs of tiles dealt to tasks.
+    subs = F.ceil(F.col("size") / TILE_GRAMS).cast("long")
+    large = rows.filter(F.col("size") > TILE_GRAMS).withColumn("sub", F.pmod(F.xxhash64("node"), subs))
+
+    def pack(group: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, group.schema) as f:
+            f.write_table(group)
+        return pa.table({"family": group["family"][:1], "sub": group["sub"][:1], "tile": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    tiles = large.groupBy("family", "sub").applyInArrow(pack, "family long, sub long, tile binary")
+    pairs = tiles.join(tiles.select("family", F.col("sub").alias("other_sub"), F.col("tile").alias("other")), "family").filter("sub <= other_sub")
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = (Tile(pa.ipc.open_stream(v.as_buffer()).read_all()) for v in (x, y))
+                yield from table(links_between(a, b, num, den)).to_batches()
+
+    spread = pairs.repartition(F.col("family"), F.col("sub"), F.col("other_sub"))
+    return small.unionByName(spread.select("tile", "other").mapInArrow(between, LINKS))
