@@ -187,3 +187,21 @@ def format_pico_time(n: Column) -> Column:
         text = F.concat(F.format_string("%.2f", x / F.lit(size)), F.lit(f" {unit}"))
         out = F.when(F.abs(x) >= size, text) if out is None else out.when(F.abs(x) >= size, text)
     return out.when(x.isNotNull(), F.concat(F.format_string("%3d", x.cast("long")), F.lit(" ps")))
+
+
+def list_add(items: Column, item: str) -> Column:
+    """Add to a comma-separated list unless it is there."""
+    return F.when(items.isNull() | (items == ""), F.lit(item)).when(F.array_contains(F.split(items, ","), item), items).otherwise(F.concat(items, F.lit(f",{item}")))
+
+
+def list_drop(items: Column, item: str) -> Column:
+    return F.array_join(F.array_remove(F.split(items, ","), item), ",")
+
+
+def quote_identifier(s: Column) -> Column:
+    return F.concat(F.lit("`"), F.replace(s, F.lit("`"), F.lit("``")), F.lit("`"))
+
+
+def extract_value(xml: Column, path: str) -> Column:
+    """EXTRACTVALUE: the text at an XPath."""
+    return F.xpath_string(xml, F.lit(path))

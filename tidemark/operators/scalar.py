@@ -300,3 +300,38 @@ def format_bytes_time(spark, sf_dir):
 @op("fn_session_constants", "SELECT true AS has_user, true AS has_db, 'x' AS named, md5('SELECT ?') AS digest")
 def session_constants(spark, sf_dir):
     return spark.range(1).select((F.length(F.current_user()) > 0).alias("has_user"), (F.length(F.current_database()) > 0).alias("has_db"), F.lit("x").alias("named"), F.md5(F.lit("SELECT ?")).alias("digest"))
+
+
+@op("fn_sys_text_helpers", "SELECT * FROM (VALUES ('a,b', 'a,b,c', 'b', '`a,b`'), ('c', 'c', 'c', '`c`'), ('', 'c', '', '``')) t(s, added, dropped, quoted)")
+def sys_text_helpers(spark, sf_dir):
+    s = c("s")
+    return rows(spark, "('a,b'), ('c'), ('')", "s").select("s", C.list_add(s, "c").alias("added"), C.list_drop(s, "a").alias("dropped"), C.quote_identifier(s).alias("quoted"))
+
+
+@op("fn_xml_extract_value", "SELECT n_nationkey AS k, n_name AS v FROM nation")
+def xml_extract_value(spark, sf_dir):
+    doc = F.concat(F.lit("<a><b>x</b><c>"), c("n_name"), F.lit("</c></a>"))
+    return table(spark, sf_dir, "nation").select(c("n_nationkey").alias("k"), C.extract_value(doc, "/a/c").alias("v"))
+
+
+@op("fn_uuid_random", "SELECT count(*) AS n, true AS all_valid, true AS all_distinct FROM nation")
+def uuid_random(spark, sf_dir):
+    made = table(spark, sf_dir, "nation").select(F.uuid().alias("u"))
+    return made.agg(F.count("*").alias("n"), F.bool_and(C.is_uuid(c("u"))).alias("all_valid"), (F.countDistinct("u") == F.count("*")).alias("all_distinct"))
+
+
+@op("routine_scripting", "SELECT 10 AS n, 55 AS s, 5 AS odd")
+def routine_scripting(spark, sf_dir):
+    """A routine's body: variables, a loop, a branch, and a result."""
+    return spark.sql("""
+BEGIN
+  DECLARE n INT DEFAULT 0;
+  DECLARE s INT DEFAULT 0;
+  DECLARE odd INT DEFAULT 0;
+  WHILE n < 10 DO
+    SET n = n + 1;
+    SET s = s + n;
+    IF n % 2 = 1 THEN SET odd = odd + 1; END IF;
+  END WHILE;
+  SELECT n, s, odd;
+END""")
