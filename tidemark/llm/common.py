@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -46,16 +47,23 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+        atexit.register(self.remove)
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def remove(self) -> None:
+        """Delete the workspace; results that read it are gone then. Runs when the driver's Python ends, if Spark still is there."""
+        with contextlib.suppress(Exception):
+            if self.spark.sparkContext._jsc is not None and not self.spark.sparkContext._jsc.sc().isStopped():
+                self.drop("")
+
     def drop(self, name: str) -> None:
         """Delete a staged table (or a folder of this workspace) that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
