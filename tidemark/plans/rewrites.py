@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -33,10 +34,10 @@ def recursive_distinct(anchor: DataFrame, step: Callable[[DataFrame], DataFrame]
 
     Each round's rows are checkpointed, so the plan stays short and a lost executor costs one round at most.
     """
-    if not anchor.sparkSession.sparkContext.getCheckpointDir():
-        import tempfile
-
-        anchor.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    spark = anchor.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))  # the latter in tests only
     seen = frontier = anchor.distinct().checkpoint()
     for _ in range(limit):
         same = [F.col(f"n.{c}").eqNullSafe(F.col(f"s.{c}")) for c in anchor.columns]
