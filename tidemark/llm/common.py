@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -54,6 +55,11 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of steps that are staged; else they stay until the driver's next full collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def remove(self) -> None:
         """Delete the workspace; results that read it are gone then. Runs when the driver's Python ends, if Spark still is there."""
         with contextlib.suppress(Exception):

@@ -275,6 +275,7 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
     salt = F.when(F.col("pivot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.lit(1000))).cast("int")
     posts = rows.select("text").mapInArrow(post, POSTS).repartition(F.col("content"), salt).sortWithinPartitions("content", "node")
     lists = ws.stage(posts.mapInArrow(meet, "content long, node long"), "lists")
+    ws.release()
 
     # A fragment that no other set has differs from any partner's: sets with too few others are linked with none.
     flag = F.col("content").bitwiseAND(F.lit(3))
@@ -302,6 +303,7 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
 
     spelt = rows.join(chosen, rows.id.eqNullSafe(chosen.id), "left_semi").select("text").mapInArrow(spell, "node long, part int, grams array<long>, n int")
     spelt = ws.stage(spelt.join(nodes, "node", "left_semi").dropDuplicates(["node", "part"]), "spelt")
+    ws.release()
 
     def overlaps(pairs: DataFrame) -> DataFrame:
         """a, b, linked of distinct pairs: partial overlaps by fragment, summed."""
@@ -318,6 +320,8 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
     able_nodes = spelt.filter("part = 0").select("node", "n").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).cast("int").alias("common"))
     able_nodes = ws.stage(able_nodes.filter(F.col("common") * den >= F.col("n") * num), "able")
     members = ws.stage(lists.join(able_nodes, "node"), "members")
+    ws.drop("lists")
+    ws.release()
 
     def able(a: str, b: str, mine: str, its: str):
         """Whether two sets have enough n-grams that aren't theirs alone to be linked."""
@@ -329,16 +333,21 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
     middle = middle.select("content", F.col("m.node").alias("pivot"), F.col("m.n").alias("pn"), F.col("m.common").alias("pc"))
     star = members.join(middle, "content").filter((F.col("node") != F.col("pivot")) & able("n", "pn", "common", "pc")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     tested = ws.stage(overlaps(star), "tested")
+    ws.release()
     component = ws.stage(connected_components(tested.filter("linked").select("a", "b"), ws), "first-components")
 
     # What is left: members of one content in different components. They fall into families (what contents connect); sets
     # of one family are compared in tiles of bounded size, and only links leave a comparison.
     here = ws.stage(members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")), "here")
+    ws.drop("members")
     split = here.groupBy("content").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("node").alias("lead")).filter("x <> y").select("content", "lead")
     here = here.join(split, "content")
     family = connected_components(here.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), ws, "families")
     left = ws.stage(family.select("node", F.col("component").alias("family")).join(here.select("node", "component", "n", "common").distinct(), "node"), "left")
-    more = ws.stage(_compare_families(left, spelt, num, den), "more")
+    ws.release()
+    more = ws.stage(_compare_families(left, spelt, num, den, ws), "more")
+    ws.drop("spelt")
+    ws.release()
     if more.limit(1).count():
         component = ws.stage(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), ws, "all"), "components")
 
@@ -410,11 +419,12 @@ def links_between(a: Tile, b: Tile, num: int, den: int) -> list[tuple[int, int]]
     return out
 
 
-def _compare_families(left: DataFrame, spelt: DataFrame, num: int, den: int) -> DataFrame:
+def _compare_families(left: DataFrame, spelt: DataFrame, num: int, den: int, ws: Workspace) -> DataFrame:
     """Links (a, b) between the sets of left that are of one family and in different components."""
     grams = spelt.join(left.select("node"), "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("part", "grams"))).alias("g"))  # PARTS rows each
     sizes = left.groupBy("family").agg(F.sum(F.col("n") + SET_COST).alias("size"))
     rows = left.join(sizes, "family").join(grams.select("node", F.flatten("g.grams").alias("grams")), "node").select("family", "size", "node", "component", F.col("n").cast("long").alias("n"), F.col("common").cast("long").alias("common"), "grams")
+    rows = ws.stage(rows, "family-rows")
     result = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def table(links: list[tuple[int, int]]) -> pa.Table:
@@ -434,6 +444,9 @@ def _compare_families(left: DataFrame, spelt: DataFrame, num: int, den: int) ->
     bucket = F.pmod(F.xxhash64("family"), F.lit(4096)).cast("int")
     small = rows.filter(F.col("size") <= TILE_GRAMS).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(within, LINKS)
 
+    if not sizes.filter(F.col("size") > TILE_GRAMS).limit(1).count():
+        return small
+
     # Larger ones: tiles as rows, and pairs of tiles dealt to tasks.
     subs = F.ceil(F.col("size") / TILE_GRAMS).cast("long")
     large = rows.filter(F.col("size") > TILE_GRAMS).withColumn("sub", F.pmod(F.xxhash64("node"), subs))
@@ -444,7 +457,7 @@ def _compare_families(left: DataFrame, spelt: DataFrame, num: int, den: int) ->
             f.write_table(group)
         return pa.table({"family": group["family"][:1], "sub": group["sub"][:1], "tile": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-    tiles = large.groupBy("family", "sub").applyInArrow(pack, "family long, sub long, tile binary")
+    tiles = ws.stage(large.groupBy("family", "sub").applyInArrow(pack, "family long, sub long, tile binary"), "family-tiles")
     pairs = tiles.join(tiles.select("family", F.col("sub").alias("other_sub"), F.col("tile").alias("other")), "family").filter("sub <= other_sub")
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
