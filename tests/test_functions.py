@@ -65,7 +65,7 @@ def test_literals(spark):
     cases = [
         (S.substring(F.lit("hello"), 0, 2), ""), (S.substring(F.lit("hello"), -9, 2), ""), (S.pad(F.lit("hi"), -1, "?", True), None), (S.pad(F.lit("hi"), 4, "", False), ""), (S.insert(F.lit("Quadratic"), 3, 4, "What"), "QuWhattic"), (S.insert(F.lit("Quadratic"), -1, 4, "What"), "Quadratic"), (S.insert(F.lit("Quadratic"), 3, 100, "What"), "QuWhat"),
         (S.trim_string(F.lit("xxbarxx"), "x", "leading"), "barxx"), (S.quote(F.lit("Don't!")), "'Don\\'t!'"), (S.quote(F.lit(None).cast("string")), "NULL"), (S.export_set(F.lit(5), "Y", "N", ",", 4), "Y,N,Y,N"), (S.make_set(F.lit(5), "hello", "nice", "world"), "hello,world"), (S.soundex(F.lit("Quadratically")), "Q36324"), (S.ord_(F.lit("é")), 50089), (S.regexp_instr(F.lit("dog cat dog"), "cat"), 5),
-        (M.bit_not(F.lit(5)).cast("string"), "18446744073709551610"), (M.truncate(F.lit(-1.999), 1), -1.9), (M.int_divide(F.lit(-5), F.lit(2)), -2), (M.modulo(F.lit(5), F.lit(0)), None), (M.leading_number(F.lit("1e2x")), 100.0),
+        (M.bit_not(F.lit(5)).cast("string"), "18446744073709551610"), (M.truncate(F.lit(-1.999), 1), -1.9), (M.int_divide(F.lit(-5), F.lit(2)), -2), (M.int_divide(F.lit(2999999999), F.lit(1000000000)), 2), (M.int_divide(F.lit(7), F.lit(0)), None), (M.modulo(F.lit(5), F.lit(0)), None), (M.leading_number(F.lit("1e2x")), 100.0),
         (C.greatest(F.lit(1), F.lit(None).cast("int")), None), (C.interval(F.lit(23), 1, 15, 17, 30, 44, 200), 3), (C.interval(F.lit(None).cast("int"), 1), -1), (C.inet_aton(F.lit("10.0.5.9")), 167773449),
         (J.json_extract(F.lit('{"a": {"b": 1}, "c": [{"b": 2}]}'), "$**.b"), "[1, 2]"), (J.json_merge_preserve(F.lit("[1, 2]"), {"a": 3}), '[1, 2, {"a": 3}]'), (J.json_contains(F.lit('{"a": [1, {"x": 2}]}'), {"x": 2}, "$.a"), True), (J.json_search(F.lit('["abc", {"x": "abc"}]'), "all", "abc"), '["$[0]", "$[1].x"]'),
         (X.boolean_match(F.lit("apple pie with banana"), "+apple +(banana cherry) -kiwi"), True), (X.boolean_match(F.lit("apple pie"), "+apple -pie"), False), (X.boolean_match(F.lit("apple pie"), '"pie apple"'), False),

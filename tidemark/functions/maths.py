@@ -20,8 +20,8 @@ def divide_decimal(a: Column, b: Column, scale: int) -> Column:
 
 def int_divide(a: Column, b: Column) -> Column:
     """DIV: the quotient cut toward zero, NULL for a zero divisor."""
-    q = F.try_divide(a.cast("decimal(38,10)"), b.cast("decimal(38,10)"))
-    return F.when(q < 0, F.ceil(q)).otherwise(F.floor(q)).cast("long")
+    multiple = a - F.try_mod(a, b)  # exact, so that the quotient isn't rounded up
+    return F.round(F.try_divide(multiple.cast("decimal(38,10)"), b.cast("decimal(38,10)"))).cast("long")
 
 
 def modulo(a: Column, b: Column) -> Column:
