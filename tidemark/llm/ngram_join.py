@@ -22,11 +22,14 @@ Copies (equal sets) are one node. The result is each document's component, not t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -447,24 +450,27 @@ def _compare_families(left: DataFrame, spelt: DataFrame, num: int, den: int, ws:
     if not sizes.filter(F.col("size") > TILE_GRAMS).limit(1).count():
         return small
 
-    # Larger ones: tiles as rows, and pairs of tiles dealt to tasks.
+    # Larger ones: tiles are files in the shared folder, and pairs of their names are dealt to tasks.
     subs = F.ceil(F.col("size") / TILE_GRAMS).cast("long")
     large = rows.filter(F.col("size") > TILE_GRAMS).withColumn("sub", F.pmod(F.xxhash64("node"), subs))
-
-    def pack(group: pa.Table) -> pa.Table:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, group.schema) as f:
-            f.write_table(group)
-        return pa.table({"family": group["family"][:1], "sub": group["sub"][:1], "tile": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-    tiles = ws.stage(large.groupBy("family", "sub").applyInArrow(pack, "family long, sub long, tile binary"), "family-tiles")
-    pairs = tiles.join(tiles.select("family", F.col("sub").alias("other_sub"), F.col("tile").alias("other")), "family").filter("sub <= other_sub")
+    large.repartition("family", "sub").write.partitionBy("family", "sub").parquet(f"{ws.path}/tiles")
+    root = f"{ws.path}/tiles"
+    names = large.select("family", "sub").distinct()
+    pairs = names.join(names.withColumnRenamed("sub", "other"), "family").filter("sub <= other")
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = (Tile(pa.ipc.open_stream(v.as_buffer()).read_all()) for v in (x, y))
+            for family, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = (load_tile(f"{root}/family={family}/sub={k}") for k in (x, y))
                 yield from table(links_between(a, b, num, den)).to_batches()
 
-    spread = pairs.repartition(F.col("family"), F.col("sub"), F.col("other_sub"))
-    return small.unionByName(spread.select("tile", "other").mapInArrow(between, LINKS))
+    spread = pairs.select("family", "sub", "other").repartition(F.col("family"), F.col("sub"), F.col("other"))
+    return small.unionByName(spread.mapInArrow(between, LINKS))
+
+
+@lru_cache(maxsize=4)
+def load_tile(path: str) -> Tile:
+    system, where = fs.FileSystem.from_uri(path)
+    files = sorted(f.path for f in system.get_file_info(fs.FileSelector(where)) if f.base_name.startswith("part-"))
+    columns = ["node", "component", "n", "common", "grams"]
+    return Tile(pa.concat_tables([pq.read_table(f, filesystem=system, columns=columns, partitioning=None) for f in files]))
