@@ -71,6 +71,22 @@ def test_join_loses_no_link(spark, monkeypatch, seed, width, num):
     assert sorted(map(tuple, ngram_join.ngram_components(df, width, num, 100).collect())) == jaccard_brute(docs, width, num, 100)
 
 
+@pytest.mark.parametrize("held", [1_500_000, 700])
+@pytest.mark.parametrize("width, num", [(4, 85), (5, 80)])
+def test_large_families_keep_their_first_set(spark, monkeypatch, held, width, num):
+    """Families of 24 near copies in one task, whose contents are met there; a small held flushes amid them."""
+    monkeypatch.setattr(ngram_join, "HELD_ROWS", held)
+    r, docs = random.Random(9), {}
+    for size in (80, 150, 300):
+        base = [f"w{r.randrange(5000)}" for _ in range(size)]
+        for _ in range(24):
+            text = list(base)
+            text[r.randrange(size)] = f"x{len(docs)}"
+            docs[len(docs)] = " ".join(text)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(1)
+    assert sorted(map(tuple, ngram_join.ngram_components(df, width, num, 100).collect())) == jaccard_brute(docs, width, num, 100)
+
+
 def test_fragments_of_linked_sets_meet():
     """The guarantee itself: of random linked pairs, each has a content in common."""
     rng = np.random.default_rng(5)

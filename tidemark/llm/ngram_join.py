@@ -11,8 +11,8 @@ them is cut by a second order, and one that fails there too meets all such sets
 
 Star instead of all pairs: of the sets that share a content, each is compared with one (the least), so a group of
 near copies costs as many comparisons as it has members. Only where such a comparison fails are the members compared
-further, pair by pair, and only if they are not in one component yet. Contents that one task sees many times are
-compared with that task's least set before the shuffle.
+further, pair by pair, and only if they are not in one component yet. Sets whose content one task sees many times are
+known to meet others before the shuffle, so they spread over its partitions; the task's first one stays with the rest.
 
 Comparison: partial overlaps are counted fragment by fragment (PARTS ranges of the order) and summed per pair.
 
@@ -198,7 +198,7 @@ POSTS = "content long, node long, pivot long"
 
 
 def _starred(content: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-    """Rows for the shuffle: contents that occur LOCAL times or more are joined to their first node here (pivot)."""
+    """Rows for the shuffle: contents that occur LOCAL times or more are joined to their first node here (pivot; its own row's too)."""
     order = np.argsort(content, kind="stable")
     sorted_ = content[order]
     first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(content) else np.zeros(0, np.int64)
@@ -206,7 +206,6 @@ def _starred(content: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
     pivot, local = np.empty_like(node), np.empty(len(node), bool)  # rows stay by set, which packs well
     pivot[order] = np.repeat(node[order[first]], sizes)
     local[order] = np.repeat(sizes, sizes) >= LOCAL
-    local &= node != pivot
     return pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(node), pa.array(pivot, mask=~local)], names=["content", "node", "pivot"])
 
 
@@ -256,17 +255,18 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
         """Of rows sorted by content, those whose content has two nodes or more."""
         last = None  # content, node of the row that leads the last batch's last group, and whether it has been given out
         for batch in batches:
-            c, x, local = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            c, x, starred = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            local = starred & (batch.column(2).fill_null(0).to_numpy() != x)
             out = [(c[local], x[local])]
-            c, x = c[~local], x[~local]
+            c, x, met = c[~local], x[~local], starred[~local]  # met: a pivot, whose others are local rows elsewhere
             if len(c):
                 if last is not None:
-                    c, x = np.append(last[0], c), np.append(last[1], x)
+                    c, x, met = np.append(last[0], c), np.append(last[1], x), np.append(False, met)
                 first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
                 other = x != np.repeat(x[first], np.diff(np.append(first, len(c))))
-                shared = np.maximum.reduceat(other, first)
+                shared = np.maximum.reduceat(other | met, first)
                 lead = np.zeros(len(c), bool)
-                lead[first] = shared  # a group's first row goes out with its first other one
+                lead[first] = shared  # a group's first row goes out with its first other one or pivot
                 if last is not None and last[2]:
                     lead[0] = False
                 out.append((c[other | lead], x[other | lead]))
@@ -275,7 +275,7 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*out, strict=True)], names=["content", "node"])
 
     sets = ws.stage(rows.mapInArrow(measure, f"id {kind}, n long, node long, alike_even long, alike_odd long"), "sets")
-    salt = F.when(F.col("pivot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.lit(1000))).cast("int")
+    salt = F.when(F.col("pivot").isNull() | (F.col("pivot") == F.col("node")), 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.lit(1000))).cast("int")
     posts = rows.select("text").mapInArrow(post, POSTS).repartition(F.col("content"), salt).sortWithinPartitions("content", "node")
     lists = ws.stage(posts.mapInArrow(meet, "content long, node long"), "lists")
     ws.release()
