@@ -77,6 +77,27 @@ def test_warc_cases(spark):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_index_files_of_failed_attempts_are_not_read(spark, monkeypatch):
+    """Beside each archive, a failed attempt left its own: one whole index, and one that ends within a line."""
+    normalise = warc.normalise
+
+    def failing_first(files, root):
+        done = normalise(files, root).localCheckpoint()
+        folder = root.removeprefix("file://")
+        for r in done.collect():
+            data = open(r["index"].removeprefix("file:").replace("///", "/"), "rb").read()
+            name = r["index"].rpartition("/")[2]
+            open(f"{folder}/whole-{name}", "wb").write(data)
+            open(f"{folder}/half-{name}", "wb").write(data[:-20])
+        return done
+
+    monkeypatch.setattr(warc, "normalise", failing_first)
+    df = spark.createDataFrame([(k, "u", f"page {k}") for k in range(1200)], "page_id long, url string, html string").repartition(2)
+    index = warc.archive(df)
+    assert index.count() == 1200 and index.filter("path is null").count() == 0
+    assert sorted(r.page_id for r in warc.read_archives(index).collect()) == list(range(1200))
+
+
 def test_smaller_payloads_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd"), (4, "u", "abcd"), (3, "u", "abcd"), (None, "u", "abcd")], "page_id long, url string, html string")
     rows = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(warc.archive(df, min_bytes=3)).collect()), key=str)

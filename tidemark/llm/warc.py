@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace
 
-PIECE = 1 << 20
+#: Bytes that are read at once, and rows of an index.
+PIECE, INDEX_ROWS = 1 << 20, 500
 # Fixed values of the formats: the revisit profile of WARC 1.1 and the date of all records.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -168,6 +171,21 @@ def normalise(files: DataFrame, root: str, level: int = 6) -> DataFrame:
 
 
 INDEX = "path string, offset long, length long, record_id string, type string"
+INDEX_KINDS = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("type", pa.string())])
+
+
+def read_index(done: DataFrame) -> DataFrame:
+    """The rows of the index files that a column index names, and of no other file."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, where = fs.FileSystem.from_uri(path)
+                with system.open_input_stream(where, compression=None) as raw, io.TextIOWrapper(raw, "utf-8") as lines:
+                    while held := list(islice(lines, INDEX_ROWS)):
+                        yield pa.RecordBatch.from_pylist([json.loads(line) for line in held], INDEX_KINDS)
+
+    return done.select("index").mapInArrow(rows, INDEX)
 
 
 def _page(text: str | None) -> int | None:
@@ -221,4 +239,4 @@ def archive(df: DataFrame, **options) -> DataFrame:
     ws.drop("monolithic")
     if done.limit(1).count() == 0:
         return spark.createDataFrame([], INDEX)
-    return spark.read.schema(INDEX).json(f"{ws.path}/archives/*.idx.json")
+    return read_index(done.repartition(n, "index"))
