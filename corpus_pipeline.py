@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import exact_dedup, langid, ngram_join, packing, quality
 from tidemark.llm.common import Workspace, bound_batches, read
 
-#: Least score of the quality classifier, and least cosine with a language's prototype, of documents that stay.
-QUALITY, SIMILARITY = 0.3, 0.02
+#: Least score of the quality classifier of documents that stay; share of a language's training documents below its least cosine.
+QUALITY, BELOW = 0.3, 0.02
 KEY = "__tidemark_key"
 
 
@@ -37,11 +37,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose profile is like that of a language."""
+    """Documents whose profile is as near a language as all but BELOW of its own documents of such a length."""
     bound_batches(spark)
     model = langid.train(docs)
-    found = langid.predict(model, F.col("text"))
-    return docs.filter((found["lang_pred"] != langid.UNKNOWN) & (found["similarity"] >= SIMILARITY)) if model.languages else docs.limit(0)
+    if not model.languages:
+        return docs.limit(0)
+    return docs.filter(langid.known(model, langid.floors(model, docs, BELOW), F.col("text")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

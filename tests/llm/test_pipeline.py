@@ -1,6 +1,8 @@
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from tidemark.llm.common import Workspace
@@ -89,3 +91,17 @@ def test_edge_cases(spark, name):
         assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "3", "4", "None"]
     if name == "packing":
         assert len({(r.sequence_id, r.offset) for r in kept}) == len(kept)
+
+
+@pytest.mark.parametrize("left_out", ["es", "fr"])
+def test_language_stage_rejects_unknown_text(spark, left_out):
+    """Random letters and a language without labels go, clean text stays."""
+    sf, r = "/root/testdata/sf0.01", random.Random(4)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").filter("length(text) > 300")
+    junk = [(-k, " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 8))) for _ in range(100)), None) for k in range(1, 101)]
+    truth = {d.doc_id: d.lang for d in docs.collect()}
+    shown = docs.withColumn("lang", F.when(F.col("lang") != left_out, F.col("lang"))).unionByName(spark.createDataFrame(junk, docs.schema))
+    kept = {d.doc_id for d in p.language_stage(spark, shown, sf).select("doc_id").collect()}
+    share = lambda ids: len(kept & set(ids)) / len(ids)
+    found = share(range(-100, 0)), share([i for i, x in truth.items() if x == left_out]), share([i for i, x in truth.items() if x and x != left_out])
+    assert found[0] <= 0.02 and found[1] <= 0.1 and found[2] >= 0.97, found

@@ -26,6 +26,8 @@ DIMENSIONS, ORDER, STEEPNESS = 1024, 3, 12.0
 #: Documents and distinct n-grams that are multiplied at once.
 DOCS, SLAB = 256, 4096
 UNKNOWN = "und"
+#: Letters at which the classes of length begin, short texts' profiles being noisy; steps of a cosine of 1 that floors are told by.
+LENGTHS, STEPS = (0, 200), 1000
 RESULT = "lang_pred string, score double, similarity double"
 
 
@@ -162,3 +164,55 @@ def predict(model: LanguageModel, text: Column) -> Column:
         return pd.DataFrame({"lang_pred": lang, "score": score, "similarity": cosine})
 
     return run(F.coalesce(text, F.lit("")))
+
+
+def length_classes(texts: list[str]) -> np.ndarray:
+    return np.searchsorted(LENGTHS, [np.count_nonzero(letter_codes(t)) for t in texts], "right") - 1
+
+
+def floors(model: LanguageModel, df: DataFrame, share: float, text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
+    """Least cosine by language and class of length: that which `share` of the training rows of both stay below.
+
+    Every row of training counts, by its cosine with the prototype of its own language; what reaches the driver are
+    counts by language, class and step. A class that a language has no row in takes the floor of the next shorter one.
+    """
+    number = {lang: k for k, lang in enumerate(model.languages)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            vectors = profiles(texts)
+            use = np.array([lang in number for lang in langs], bool) & vectors.any(axis=1)
+            own = np.array([number.get(lang, 0) for lang in langs], np.int64)
+            vectors = vectors - model.mean
+            norm = np.linalg.norm(vectors, axis=1)
+            cosine = (vectors * model.prototypes[own]).sum(axis=1) / np.where(norm > 0, norm, 1)
+            found = np.stack([own, length_classes(texts), np.floor(cosine * STEPS).astype(np.int64)], axis=1)[use]
+            key, n = np.unique(found, axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(key[:, k]) for k in range(3)), pa.array(n)], names=["lang", "size", "step", "n"])
+
+    rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
+    counts = rows.mapInArrow(count, "lang long, size long, step long, n long").groupBy("lang", "size", "step").agg(F.sum("n").alias("n")).collect()
+    out = np.full((len(model.languages), len(LENGTHS)), np.nan)
+    for lang, size in {(r.lang, r.size) for r in counts}:
+        step, n = np.array(sorted((r.step, r.n) for r in counts if (r.lang, r.size) == (lang, size))).T
+        out[lang, size] = step[np.searchsorted(np.cumsum(n), share * n.sum(), "right")] / STEPS
+    for size in range(1, len(LENGTHS)):
+        out[:, size] = np.where(np.isnan(out[:, size]), out[:, size - 1], out[:, size])
+    for size in range(len(LENGTHS) - 2, -1, -1):
+        out[:, size] = np.where(np.isnan(out[:, size]), out[:, size + 1], out[:, size])
+    return out
+
+
+def known(model: LanguageModel, least: np.ndarray, text: Column) -> Column:
+    """Whether a text is at its language's floor for its length or above; false for a text without letters."""
+    shared = model
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        texts = texts.tolist()
+        lang, _, cosine = shared.predict(texts)
+        place = np.array([shared.languages.index(x) if x != UNKNOWN else -1 for x in lang], np.int64)
+        return pd.Series((place >= 0) & (cosine >= least[place, length_classes(texts)]))
+
+    return run(F.coalesce(text, F.lit("")))
