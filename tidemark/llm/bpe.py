@@ -1,30 +1,39 @@
-"""Byte-level BPE encoding and decoding by merge replay.
+"""Byte-level BPE encoding and decoding by merge replay over the whole corpus.
 
-The distinct words of a batch of documents form one corpus. An inverted index maps each merge (by its rank) to the
-positions of the adjacent token pairs that it joins; merges are replayed in rank order, and a merge updates only the
-index entries of its two neighbours. Every word of the corpus is thus encoded once however often it occurs, and the
-encodings are kept for later batches up to a bounded number of words.
+The table's distinct words form the corpus. Documents are split where they are read and kept as numbers into the word
+list of a block (a bounded run of documents); the blocks' words are reduced to distinct ones by a shuffle. In each
+partition of them an inverted index maps each merge (by its rank) to the positions of the adjacent token pairs that it
+joins; merges are replayed in rank order, and a merge updates only the index entries of its two neighbours. So every
+word of the corpus is encoded once however often it occurs. The encodings go back to the blocks that have the word,
+and a block's documents are put together by taking from its list.
 
-No shuffle: documents are encoded where they are read, so a lost executor costs its running tasks only.
+What is shuffled is a block's distinct words and the documents' word numbers (two bytes a word), never texts. A common
+word has one row a block, whatever its count. Blocks are staged in the shared folder, so a lost executor costs its
+running tasks only.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose encodings a worker keeps between batches.
-MEMO_WORDS = 800_000
-#: Token pairs whose merge a worker keeps.
-MEMO_PAIRS = 1_000_000
+from tidemark.llm.common import Workspace
+
+#: Distinct words and bytes of text at which a block ends; words that are replayed at once; token pairs whose merge a worker keeps.
+BLOCK_WORDS, BLOCK_BYTES, REPLAY_WORDS, MEMO_PAIRS = 250_000, 16 << 20, 50_000, 1_000_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -32,17 +41,48 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line.strip())}
 
 
+@cache
+def _classes() -> dict[str, str]:
+    """Ranges of the Basic Multilingual Plane by property, for the standard library's faster matcher."""
+    plane = "".join(map(chr, (c for c in range(0x10000) if not 0xD800 <= c < 0xE000)))
+    return {name: "".join(f"{re.escape(m[0][0])}-{re.escape(m[0][-1])}" for m in _runs(name, plane)) for name in (r"\p{L}", r"\p{N}", r"\s")}
+
+
+def _runs(name: str, plane: str) -> Iterator[regex.Match]:
+    """Maximal runs of characters with a property; the plane's gap of surrogates has none."""
+    return regex.finditer(f"{name}+", plane)
+
+
+def splitter(pattern: str):
+    """A function from a text to the pattern's matches, as the regex module finds them.
+
+    The standard library lacks properties but matches about twice as fast; it gets the pattern with properties written
+    out as ranges, for texts without characters beyond the Basic Multilingual Plane.
+    """
+    every = regex.compile(pattern).findall
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", "[^{}]".format("".join(_classes().values()))).replace(r"\S", "[^{}]".format(_classes()[r"\s"]))
+    for name, ranges in _classes().items():
+        plain = plain.replace(name, f"[{ranges}]")
+    try:
+        near = re.compile(plain).findall
+    except re.error:
+        return every
+    beyond = re.compile("[^\x00-\uffff]").search
+    return lambda text: every(text) if beyond(text) else near(text)
+
+
 class MergeReplay:
     """Encoder and decoder for one table of ranks; a token's rank is its id."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         self.bytes_of = {i: token for token, i in ranks.items()}
-        self.name_of = {i: str(i) for i in ranks.values()}
+        every = range(max(ranks.values()) + 1)
+        self.names = pa.array([b"%d " % i for i in every], pa.large_binary())
+        self.tokens = pa.array(map(self.bytes_of.get, every), pa.large_binary())
         self.pairs: dict[int, int] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
 
     def merged(self, left: int, right: int) -> int:
         """The id of two adjacent tokens' merge, or -1."""
@@ -123,23 +163,34 @@ class MergeReplay:
                     break
         return [tuple(t for t in token[a:b] if t >= 0) for a, b in zip(starts, [*starts, n][1:], strict=True)]
 
-    def encode_batch(self, texts: Iterable[str]) -> Iterator[list[int]]:
-        """The ids of each text, in order."""
-        split = [self.split(text) for text in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each word; words that are a token as a whole need no replay."""
         if len(self.pairs) > MEMO_PAIRS:
             self.pairs.clear()
-        memo, hard = self.memo, []
-        for word in set(chain.from_iterable(split)).difference(memo):
-            whole = self.ranks.get(word.encode())
-            if whole is None:
-                hard.append(word)
-            else:
-                memo[word] = (whole,)
-        memo.update(zip(hard, self.replay([word.encode() for word in hard]), strict=True))
-        for words in split:
-            yield list(chain.from_iterable(map(memo.__getitem__, words)))
+        coded = [word.encode() for word in words]
+        out = [(whole,) if (whole := self.ranks.get(word)) is not None else None for word in coded]
+        hard = [i for i, found in enumerate(out) if found is None]
+        for start in range(0, len(hard), REPLAY_WORDS):
+            part = hard[start : start + REPLAY_WORDS]
+            for i, found in zip(part, self.replay([coded[i] for i in part]), strict=True):
+                out[i] = found
+        return out
+
+    def encode_batch(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """The ids of each text, in order; the texts are the corpus."""
+        split = [self.split(text) for text in texts]
+        words = list(set(chain.from_iterable(split)))
+        ids = dict(zip(words, self.encode_words(words), strict=True))
+        for found in split:
+            yield list(chain.from_iterable(map(ids.__getitem__, found)))
+
+    @staticmethod
+    def digests(parts: pa.LargeBinaryArray, ids: pa.Array, last: np.ndarray, cut: int) -> pa.Array:
+        """SHA-256 by document of its ids' parts (names or bytes) in a row, without the last `cut` bytes; last: the documents' edges in ids."""
+        found = parts.take(ids)
+        at = np.frombuffer(found.buffers()[1], np.int64)[last].tolist() if len(ids) else [0] * len(last)
+        held = memoryview(found.buffers()[2] or b"")
+        return pa.array([hashlib.sha256(held[a : max(a, b - cut)]).hexdigest() for a, b in zip(at, at[1:], strict=False)], pa.string())
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -156,15 +207,47 @@ def _codec(data: bytes, pattern: str) -> MergeReplay:
     return _codecs[key]
 
 
+class Block:
+    """Documents in a row as numbers into the list of their distinct words."""
+
+    def __init__(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__  # a new word gets the next number
+        self.ids, self.sizes, self.numbers, self.bytes = [], [], [], 0
+
+    def add(self, doc_id: pa.Array, words: list[str], size: int) -> None:
+        self.ids.append(doc_id)
+        self.sizes.append(len(words))
+        self.numbers.append(np.fromiter(map(self.number.__getitem__, words), np.uint32, len(words)))
+        self.bytes += size
+
+    def full(self) -> bool:
+        return len(self.number) >= BLOCK_WORDS or self.bytes >= BLOCK_BYTES
+
+    def row(self, number: int) -> pa.RecordBatch:
+        def one(values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+        numbers = np.concatenate(self.numbers).astype(_number_type(len(self.number)))
+        columns = [pa.array([number], pa.int64()), one(pa.concat_arrays(self.ids)), one(pa.array(self.sizes, pa.int32())), pa.array([numbers.tobytes()], pa.binary()), one(pa.array(list(self.number), pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "numbers", "words"])
+
+
+def _number_type(words: int) -> type:
+    return np.uint16 if words <= 1 << 16 else np.uint32
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
     """Encode every row's whole text; columns: the id, n_tokens, with ids the token ids, with digests two SHA-256.
 
     ids_sha256 is over the decimal ids joined by one space; decoded_sha256 is over the bytes that decoding the ids
-    gives. A null text counts as empty (no ids). Rows are independent: repeated rows and null or repeated ids give a
-    row each, an empty table gives an empty one, and columns other than the two named are not read.
-    The ranks file is read by the driver and broadcast; its size doesn't depend on the data.
+    gives. A null text counts as empty (no ids). A text longer than a block is a block of its own. Rows are
+    independent: repeated rows and null or repeated ids give a row each, an empty table gives an empty one, and
+    columns other than the two named are not read. The ranks file is read by the driver and broadcast; its size
+    doesn't depend on the data.
     """
     spark = df.sparkSession
+    ws = Workspace(spark, "bpe")
     with open(ranks_path, "rb") as f:
         data = spark.sparkContext.broadcast(f.read())
     fields = [("n_tokens", "long", pa.int64())]
@@ -172,24 +255,53 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     fields += [("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())] * digests
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, block, key = _codec(data.value, pattern).split, Block(), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                block.add(batch.column(0).slice(i, 1), split(text), len(text))
+                if block.full():
+                    yield block.row(key)
+                    block, key = Block(), key + 1
+        if block.ids:
+            yield block.row(key)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data.value, pattern)
+
+        def encoded(words: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(codec.encode_words(words), pa.list_(pa.int32()))], names=["word", "ids"])
+
+        held: list[str] = []
         for batch in batches:
-            rows = []
-            for found in codec.encode_batch(batch.column(1).to_pylist()):
-                row = [len(found)]
-                if ids:
-                    row.append(found)
-                if digests:
-                    row.append(hashlib.sha256(" ".join(map(codec.name_of.__getitem__, found)).encode()).hexdigest())
-                    row.append(hashlib.sha256(codec.decode(found)).hexdigest())
-                rows.append(row)
-            columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, _, t) in zip(columns, fields, strict=True))], names=["id", *(name for name, _, _ in fields)])
+            held += batch.column(0).to_pylist()
+            if len(held) >= REPLAY_WORDS:
+                yield encoded(held)
+                held = []
+        yield encoded(held)
+
+    def put_together(block: pa.Table, known: pa.Table) -> pa.Table:
+        codec = _codec(data.value, pattern)
+        of_word = known["encoding"].combine_chunks().take(pa.array(np.argsort(known["number"].to_numpy())))
+        numbers = pa.array(np.frombuffer(block["numbers"][0].as_py(), _number_type(len(of_word))))
+        last_word = np.cumsum(np.append(0, block["sizes"].combine_chunks().flatten().to_numpy()))
+        tokens = of_word.take(numbers)
+        last_token = np.append(0, np.cumsum(tokens.value_lengths().to_numpy()))[last_word]
+        columns = [block["ids"].combine_chunks().flatten(), pa.array(np.diff(last_token))]
+        if ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(last_token, pa.int32()), tokens.flatten()))
+        if digests:
+            columns += [codec.digests(codec.names, tokens.flatten(), last_token, 1), codec.digests(codec.tokens, tokens.flatten(), last_token, 0)]
+        return pa.Table.from_arrays(columns, names=["id", *(name for name, _, _ in fields)])
 
-    schema = ", ".join([f"id {kind}", *(f"{name} {sql}" for name, sql, _ in fields)])
     pairs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return pairs.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    blocks = ws.stage(pairs.mapInArrow(number, f"block long, ids array<{kind}>, sizes array<int>, numbers binary, words array<string>"), "blocks")
+    documents = spark.read.schema(blocks.drop("words").schema).parquet(f"{ws.path}/blocks")
+    words = blocks.select("block", F.posexplode("words").alias("number", "word"))
+    encoded = words.select("word").distinct().mapInArrow(replay, "word string, ids array<int>")
+    back = words.join(encoded, "word").select("block", "number", F.col("ids").alias("encoding"))
+    schema = ", ".join([f"id {kind}", *(f"{name} {sql}" for name, sql, _ in fields)])
+    return documents.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(put_together, schema).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
