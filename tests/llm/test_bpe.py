@@ -1,4 +1,5 @@
 import hashlib
+from itertools import chain
 
 import public_tokenizers
 import pytest
@@ -35,6 +36,24 @@ def test_one_very_long_word():
     assert next(CODEC.encode_batch([text])) == LIBRARY.encode_ordinary(text)
 
 
+def test_split_is_the_modules():
+    """Every character of the first three planes in four contexts, against the regex module."""
+    import regex
+
+    found, every = bpe.splitter(PATTERN), regex.compile(PATTERN).findall
+    for c in chain(range(0xD800), range(0xE000, 0x10000), range(0x10000, 0x30000, 61)):
+        text = f"{chr(c)} a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}\n1{chr(c)}'s"
+        assert found(text) == every(text), hex(c)
+
+
+def test_small_blocks_and_a_lexicon_that_starts_anew(spark, small, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 300)
+    df = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
+    assert {r.doc_id: r.ids for r in bpe.encode(df, PATH, PATTERN).collect()} == {i: LIBRARY.encode_ordinary(t) for i, t in texts.items()}
+
+
 def test_table(spark):
     rows = [(1, "x", "a b"), (1, "y", "a b"), (None, None, "z"), (2, "", "t")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")

@@ -1,15 +1,14 @@
-"""Byte-level BPE encoding and decoding by merge replay over the whole corpus.
-
-The table's distinct words form the corpus. Documents are split where they are read and kept as numbers into the word
-list of a block (a bounded run of documents); the blocks' words are reduced to distinct ones by a shuffle. In each
-partition of them an inverted index maps each merge (by its rank) to the positions of the adjacent token pairs that it
-joins; merges are replayed in rank order, and a merge updates only the index entries of its two neighbours. So every
-word of the corpus is encoded once however often it occurs. The encodings go back to the blocks that have the word,
-and a block's documents are put together by taking from its list.
-
-What is shuffled is a block's distinct words and the documents' word numbers (two bytes a word), never texts. A common
-word has one row a block, whatever its count. Blocks are staged in the shared folder, so a lost executor costs its
-running tasks only.
+"""Byte-level BPE encoding and decoding by merge replay.
+
+The corpus is all documents that a worker reads, in blocks: documents are split and kept as numbers into the worker's
+list of distinct words, and at a block's end the words that are new form the corpus that is replayed. An inverted
+index maps each merge (by its rank) to the positions of the adjacent token pairs that it joins; merges are replayed in
+rank order, and a merge updates only the index entries of its two neighbours. A word is thus encoded once a worker
+however often it occurs, and the block's documents are put together by taking from the list of encodings.
+
+No shuffle: documents are encoded where they are read, so a lost executor costs its running tasks only. (Distinct words
+of the whole table, each encoded once and joined back to the blocks that have them, take more than four times the input
+in shuffle files; see the README for the figures.)
 """
 
 from __future__ import annotations
@@ -21,19 +20,16 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace
-
-#: Distinct words and bytes of text at which a block ends; words that are replayed at once; token pairs whose merge a worker keeps.
-BLOCK_WORDS, BLOCK_BYTES, REPLAY_WORDS, MEMO_PAIRS = 250_000, 16 << 20, 50_000, 1_000_000
+#: New words and bytes of text at which a block ends; words and token pairs that a worker keeps.
+BLOCK_WORDS, BLOCK_BYTES, MEMO_WORDS, MEMO_PAIRS = 100_000, 8 << 20, 800_000, 1_000_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -170,10 +166,8 @@ class MergeReplay:
         coded = [word.encode() for word in words]
         out = [(whole,) if (whole := self.ranks.get(word)) is not None else None for word in coded]
         hard = [i for i, found in enumerate(out) if found is None]
-        for start in range(0, len(hard), REPLAY_WORDS):
-            part = hard[start : start + REPLAY_WORDS]
-            for i, found in zip(part, self.replay([coded[i] for i in part]), strict=True):
-                out[i] = found
+        for i, found in zip(hard, self.replay([coded[i] for i in hard]), strict=True):
+            out[i] = found
         return out
 
     def encode_batch(self, texts: Iterable[str]) -> Iterator[list[int]]:
@@ -196,58 +190,51 @@ class MergeReplay:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_codecs: dict[str, MergeReplay] = {}
-
-
-def _codec(data: bytes, pattern: str) -> MergeReplay:
-    """One codec a worker and table of ranks, kept between tasks."""
-    key = hashlib.sha256(data + pattern.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs[key] = MergeReplay(parse_ranks(data), pattern)
-    return _codecs[key]
+class Lexicon:
+    """The words that a worker has met, numbered, and the encodings of those replayed so far."""
 
-
-class Block:
-    """Documents in a row as numbers into the list of their distinct words."""
-
-    def __init__(self) -> None:
+    def __init__(self, codec: MergeReplay):
+        self.codec = codec
         self.number: defaultdict[str, int] = defaultdict()
         self.number.default_factory = self.number.__len__  # a new word gets the next number
-        self.ids, self.sizes, self.numbers, self.bytes = [], [], [], 0
+        self.encodings = pa.array([], pa.list_(pa.int32()))
 
-    def add(self, doc_id: pa.Array, words: list[str], size: int) -> None:
-        self.ids.append(doc_id)
-        self.sizes.append(len(words))
-        self.numbers.append(np.fromiter(map(self.number.__getitem__, words), np.uint32, len(words)))
-        self.bytes += size
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
 
-    def full(self) -> bool:
-        return len(self.number) >= BLOCK_WORDS or self.bytes >= BLOCK_BYTES
+    def new(self) -> int:
+        return len(self.number) - len(self.encodings)
 
-    def row(self, number: int) -> pa.RecordBatch:
-        def one(values: pa.Array) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    def tokens(self, numbers: np.ndarray) -> pa.ListArray:
+        """The encodings of numbered words; the new ones are replayed first."""
+        if self.new():
+            found = self.codec.encode_words(list(islice(self.number, len(self.encodings), None)))
+            self.encodings = pa.concat_arrays([self.encodings, pa.array(found, self.encodings.type)])
+        return self.encodings.take(pa.array(numbers))
 
-        numbers = np.concatenate(self.numbers).astype(_number_type(len(self.number)))
-        columns = [pa.array([number], pa.int64()), one(pa.concat_arrays(self.ids)), one(pa.array(self.sizes, pa.int32())), pa.array([numbers.tobytes()], pa.binary()), one(pa.array(list(self.number), pa.string()))]
-        return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "numbers", "words"])
 
+_lexicons: dict[str, Lexicon] = {}
 
-def _number_type(words: int) -> type:
-    return np.uint16 if words <= 1 << 16 else np.uint32
+
+def _lexicon(data: bytes, pattern: str, fresh: bool = False) -> Lexicon:
+    """One lexicon a worker and table of ranks, kept between tasks; a fresh one keeps the codec alone."""
+    key = hashlib.sha256(data + pattern.encode()).hexdigest()
+    if key not in _lexicons:
+        _lexicons[key] = Lexicon(MergeReplay(parse_ranks(data), pattern))
+    elif fresh:
+        _lexicons[key] = Lexicon(_lexicons[key].codec)
+    return _lexicons[key]
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
     """Encode every row's whole text; columns: the id, n_tokens, with ids the token ids, with digests two SHA-256.
 
     ids_sha256 is over the decimal ids joined by one space; decoded_sha256 is over the bytes that decoding the ids
-    gives. A null text counts as empty (no ids). A text longer than a block is a block of its own. Rows are
-    independent: repeated rows and null or repeated ids give a row each, an empty table gives an empty one, and
-    columns other than the two named are not read. The ranks file is read by the driver and broadcast; its size
-    doesn't depend on the data.
+    gives. A null text counts as empty (no ids). Rows are independent: repeated rows and null or repeated ids give a
+    row each, an empty table gives an empty one, and columns other than the two named are not read. A very long text
+    is a block of its own. The ranks file is read by the driver and broadcast; its size doesn't depend on the data.
     """
     spark = df.sparkSession
-    ws = Workspace(spark, "bpe")
     with open(ranks_path, "rb") as f:
         data = spark.sparkContext.broadcast(f.read())
     fields = [("n_tokens", "long", pa.int64())]
@@ -255,53 +242,36 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     fields += [("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())] * digests
     kind = df.schema[id_col].dataType.simpleString()
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, block, key = _codec(data.value, pattern).split, Block(), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                block.add(batch.column(0).slice(i, 1), split(text), len(text))
-                if block.full():
-                    yield block.row(key)
-                    block, key = Block(), key + 1
-        if block.ids:
-            yield block.row(key)
-
-    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data.value, pattern)
-
-        def encoded(words: list[str]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(codec.encode_words(words), pa.list_(pa.int32()))], names=["word", "ids"])
-
-        held: list[str] = []
-        for batch in batches:
-            held += batch.column(0).to_pylist()
-            if len(held) >= REPLAY_WORDS:
-                yield encoded(held)
-                held = []
-        yield encoded(held)
-
-    def put_together(block: pa.Table, known: pa.Table) -> pa.Table:
-        codec = _codec(data.value, pattern)
-        of_word = known["encoding"].combine_chunks().take(pa.array(np.argsort(known["number"].to_numpy())))
-        numbers = pa.array(np.frombuffer(block["numbers"][0].as_py(), _number_type(len(of_word))))
-        last_word = np.cumsum(np.append(0, block["sizes"].combine_chunks().flatten().to_numpy()))
-        tokens = of_word.take(numbers)
-        last_token = np.append(0, np.cumsum(tokens.value_lengths().to_numpy()))[last_word]
-        columns = [block["ids"].combine_chunks().flatten(), pa.array(np.diff(last_token))]
+    def put_together(lexicon: Lexicon, doc_ids: list[pa.Array], numbers: list[np.ndarray]) -> pa.RecordBatch:
+        tokens = lexicon.tokens(np.concatenate(numbers))
+        flat, edge = tokens.flatten(), np.append(0, np.cumsum(tokens.value_lengths().to_numpy()))
+        edge = edge[np.append(0, np.cumsum([len(n) for n in numbers]))]
+        columns = [pa.concat_arrays(doc_ids), pa.array(np.diff(edge), pa.int64())]
         if ids:
-            columns.append(pa.ListArray.from_arrays(pa.array(last_token, pa.int32()), tokens.flatten()))
+            columns.append(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), flat))
         if digests:
-            columns += [codec.digests(codec.names, tokens.flatten(), last_token, 1), codec.digests(codec.tokens, tokens.flatten(), last_token, 0)]
-        return pa.Table.from_arrays(columns, names=["id", *(name for name, _, _ in fields)])
+            columns += [lexicon.codec.digests(lexicon.codec.names, flat, edge, 1), lexicon.codec.digests(lexicon.codec.tokens, flat, edge, 0)]
+        return pa.RecordBatch.from_arrays(columns, names=["id", *(name for name, _, _ in fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = _lexicon(data.value, pattern)
+        doc_ids, numbers, size = [], [], 0
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                doc_ids.append(batch.column(0).slice(i, 1))
+                numbers.append(lexicon.numbers(lexicon.codec.split(text)))
+                size += len(text)
+                if size >= BLOCK_BYTES or lexicon.new() >= BLOCK_WORDS:
+                    yield put_together(lexicon, doc_ids, numbers)
+                    doc_ids, numbers, size = [], [], 0
+                    if len(lexicon.number) > MEMO_WORDS:
+                        lexicon = _lexicon(data.value, pattern, True)
+        if doc_ids:
+            yield put_together(lexicon, doc_ids, numbers)
 
-    pairs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = ws.stage(pairs.mapInArrow(number, f"block long, ids array<{kind}>, sizes array<int>, numbers binary, words array<string>"), "blocks")
-    documents = spark.read.schema(blocks.drop("words").schema).parquet(f"{ws.path}/blocks")
-    words = blocks.select("block", F.posexplode("words").alias("number", "word"))
-    encoded = words.select("word").distinct().mapInArrow(replay, "word string, ids array<int>")
-    back = words.join(encoded, "word").select("block", "number", F.col("ids").alias("encoding"))
     schema = ", ".join([f"id {kind}", *(f"{name} {sql}" for name, sql, _ in fields)])
-    return documents.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(put_together, schema).withColumnRenamed("id", id_col)
+    pairs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return pairs.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -312,7 +282,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data.value, pattern)
+        codec = _lexicon(data.value, pattern).codec
         for batch in batches:
             out = pa.array([codec.decode(ids or ()) for ids in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), out], names=["id", "decoded"])
