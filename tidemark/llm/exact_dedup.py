@@ -3,8 +3,11 @@
 Groups are refined step by step: by length, then by the hash of a prefix, then by the full hash, and the full
 content is compared only for the groups that are left. A step shuffles only rows (of hashes, never texts) whose
 group had at least two rows in the step before. Group sizes come from aggregations that combine before the shuffle,
-and rows meet their group in joins whose skewed partitions AQE splits: a group with a third of all rows is never
+and rows meet their group in joins that split the hot groups: a group (or a length) with a third of all rows is never
 gathered in one task.
+
+The SHA-256 of every text is part of the result, so every text is read and hashed once in any case; what refinement
+saves is the second reading, the comparison of contents, which only the groups that are left need.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace
+from tidemark.llm.common import Workspace, join_spread
 
 #: Characters of the prefix that is hashed in the second step.
 PREFIX = 256
@@ -44,13 +47,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     source = df.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text")).withColumns({"length": F.octet_length("text"), "prefix": F.xxhash64(F.substring("text", 1, PREFIX)), "full": full_hash(F.col("text"))})
     hashed = ws.stage(source.select("id", "length", "prefix", "full", sha256(F.col("text")).alias("sha"), F.monotonically_increasing_id().alias("row")), "hashed")
 
-    left, key = hashed, []
+    n, left, key = hashed.count(), hashed, []
     for step in ("length", "prefix", "full"):
         key.append(step)
-        groups = left.groupBy(*key).count().filter("count > 1").drop("count")
+        groups = ws.stage(left.groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1"), f"groups-{step}")
         if step != "full":
-            left = left.join(groups, key, "left_semi")
-    groups = ws.stage(groups, "groups")
+            left = join_spread(left, groups, key, "rows", n, F.col("row"), "left_semi")
+    groups = groups.drop("rows")
 
     # The content of the groups that are left, each text once for each task that has it.
     if groups.count() <= broadcast_groups:
@@ -64,7 +67,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     classes = left.groupBy(*key, "sha").agg(F.count("*").alias("size"), first.alias("first")).filter("size > 1").join(compared, [*key, "sha"]).filter("equal").drop("equal")
-    rows = hashed.join(ws.stage(classes, "classes"), [*key, "sha"], "left")
+    rows = join_spread(hashed, ws.stage(classes, "classes"), [*key, "sha"], "size", n, F.col("row"), "left")
     return rows.select(
         F.col("id").alias(id_col),
         F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("keep_id"),
