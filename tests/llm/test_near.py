@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import embed_dedup, ngram_join
-from tidemark.llm.common import Workspace
+from tidemark.llm.common import Workspace, join_spread
 from tidemark.llm.components import connected_components
 from tidemark.llm.queries import QUERIES
 
@@ -110,6 +110,28 @@ def test_fragments_of_linked_sets_meet():
             assert set(found[owner == 0].tolist()) & set(found[owner == 1].tolist())
 
 
+def test_sets_with_one_hash_go_by_their_other():
+    sets = ngram_join.Sets(["a b c d e f", "", "u v w x y z", "A b c d e f"], 4)
+    name, other = sets.names()
+    assert name[0] == name[2] != name[1] and other[0] == other[2] != other[1]
+    assert sets.nodes(frozenset([int(name[1])])).tolist() == [name[0], other[1], name[2]]
+
+
+def test_wide_n_grams_tell_the_order_of_words_apart():
+    words = [f"w{k}" for k in range(12)]
+    swapped = [*words[8:9], *words[1:8], words[0], *words[9:]]
+    sets = ngram_join.Sets([" ".join(words), " ".join(swapped), " ".join(words[:10]), " ".join(swapped[:10])], 12)
+    assert len(set(sets.nodes().tolist())) == 4
+
+
+def test_a_hot_key_is_split(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"))
+    joined = join_spread(rows, table, ["k"], "n", 3000, F.col("id"))
+    assert joined.count() == 3000 and joined.filter("n = 2000").count() == 2000
+    assert join_spread(rows, table, ["k"], "n", 3000, F.col("id"), "left_semi").count() == 3000
+
+
 def test_join_repeated_rows_and_ids(spark):
     df = spark.createDataFrame([(2, "a b c d e f"), (2, "a b c d e f"), (1, "A B C D E F"), (None, "a b c d e f"), (3, None)], "doc_id long, text string")
     rows = sorted((tuple(r) for r in ngram_join.ngram_components(df).collect()), key=str)

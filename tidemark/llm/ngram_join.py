@@ -30,10 +30,11 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import xxhash
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace
+from tidemark.llm.common import Workspace, join_spread
 from tidemark.llm.components import connected_components
 
 #: Fragments that overlaps are counted in; orders that a set is cut by before it meets all of its class.
@@ -46,6 +47,8 @@ TILE_GRAMS, FRAGMENT = 200_000, 4096
 SET_COST = 200
 #: Words whose hashes a worker keeps; contents that a task holds before it passes them on; how often a task sees a content before it is joined there.
 MEMO_WORDS, HELD_ROWS, LOCAL = 500_000, 1_500_000, 8
+#: Ids that are broadcast to pick the texts whose n-grams are compared; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Low bits of a content's hash: 1 on odd levels, 2 for the content that all sets of a class have that no order cuts well.
 _FLAGS = np.uint64(3)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)  # fixed values: odd multipliers
@@ -58,6 +61,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def odd(n: int) -> np.ndarray:
+    """n different odd multipliers."""
+    more = np.arange(len(_ODD), max(n, len(_ODD)), dtype=np.uint64)
+    return np.concatenate((_ODD, mix(more + _ODD[0]) | np.uint64(1)))[:n]
+
+
 class WordHashes(dict):
     """64-bit hashes by word."""
 
@@ -79,8 +88,9 @@ class Sets:
         lengths = np.array([len(w) for w in split], np.int64)
         h = np.fromiter(map(_hash_of, chain.from_iterable(split)), np.uint64, int(lengths.sum()))
         grams = np.full(max(len(h) - width + 1, 0), width, np.uint64)
+        factors = odd(width)
         for k in range(width):
-            grams += h[k : k + len(grams)] * _ODD[k % len(_ODD)]
+            grams += h[k : k + len(grams)] * factors[k]
         grams = mix(grams)
         parts, at = [], 0
         for n in lengths.tolist():
@@ -88,7 +98,7 @@ class Sets:
                 one = np.sort(grams[at : at + n - width + 1])
                 parts.append(one[np.concatenate(([True], one[1:] != one[:-1]))])
             elif n:  # the whole sequence as one
-                parts.append(mix(np.array([n], np.uint64) + (h[at : at + n] * _ODD[:n]).sum(dtype=np.uint64)))
+                parts.append(mix(np.array([n], np.uint64) + (h[at : at + n] * factors[:n]).sum(dtype=np.uint64)))
             else:
                 parts.append(grams[:0])
             at += n
@@ -97,13 +107,19 @@ class Sets:
         self.start = np.concatenate(([0], np.cumsum(self.sizes)[:-1])) if parts else np.zeros(0, np.int64)
         self.some = np.flatnonzero(self.sizes)  # the texts that have words
 
-    def nodes(self) -> np.ndarray:
-        """The identity of each set that isn't empty."""
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of each set that isn't empty."""
         first = self.start[self.some]
         if not len(first):
-            return np.zeros(0, np.int64)
-        sums = [np.add.reduceat(mix(self.grams ^ x), first) * _ODD[k] for k, x in enumerate((_ODD[0], _ODD[1]))]
-        return (sums[0] + sums[1] + self.sizes[self.some].astype(np.uint64) * _ODD[2]).view(np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sums = [np.add.reduceat(mix(self.grams ^ x), first) for x in _ODD[:2]]
+        size = self.sizes[self.some].astype(np.uint64)
+        return mix(sums[0] + size * _ODD[2]).view(np.int64), mix(sums[1] + size * _ODD[3]).view(np.int64)
+
+    def nodes(self, clashes: frozenset[int] = frozenset()) -> np.ndarray:
+        """The identity of each set that isn't empty: its first hash, or its second one where different sets have one first."""
+        name, other = self.names()
+        return np.where(np.isin(name, list(clashes)), other, name) if clashes else name
 
     def of(self, i: int) -> np.ndarray:
         return self.grams[self.start[i] : self.start[i] + self.sizes[i]]
@@ -223,19 +239,27 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
     kind = rows.schema["id"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = Cuts(num, den)
+        at = TaskContext.get().partitionId() << 36
         for batch in batches:
             sets = Sets(batch.column(1).to_pylist(), width)
-            node = np.zeros(len(sets.sizes), np.int64)
-            node[sets.some] = sets.nodes()
-            alike = np.array([cuts.alike(n) if n else (0, 0) for n in sets.sizes.tolist()], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.sizes), pa.array(node, mask=sets.sizes == 0), pa.array(alike[:, 0]), pa.array(alike[:, 1])], names=["id", "n", "node", "alike_even", "alike_odd"])
+            names = np.zeros((2, len(sets.sizes)), np.int64)
+            names[:, sets.some] = sets.names()
+            row = np.arange(at, at + len(sets.sizes))
+            at += len(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(row), pa.array(sets.sizes), *(pa.array(x, mask=sets.sizes == 0) for x in names)], names=["id", "row", "n", "node", "other"])
+
+    @F.pandas_udf("alike_even long, alike_odd long")
+    def alike(n):
+        import pandas as pd
+
+        cuts = Cuts(num, den)
+        return pd.DataFrame([cuts.alike(x) for x in n.tolist()], columns=["alike_even", "alike_odd"], dtype="int64")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, seen, held, count = Cuts(num, den), set(), [], 0
         for batch in batches:
             sets = Sets(batch.column(0).to_pylist(), width)
-            nodes = sets.nodes()
+            nodes = sets.nodes(clashes)
             fresh = []
             for at, node in enumerate(nodes.tolist()):
                 if node not in seen:
@@ -274,7 +298,15 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
                 last = (c[first[-1]], x[first[-1]], given)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*out, strict=True)], names=["content", "node"])
 
-    sets = ws.stage(rows.mapInArrow(measure, f"id {kind}, n long, node long, alike_even long, alike_odd long"), "sets")
+    sets = ws.stage(rows.mapInArrow(measure, f"id {kind}, row long, n long, node long, other long"), "sets")
+    # Different sets with one hash of 64 bits (a few at 10^10 documents) go by their other hash.
+    with_words = sets.filter("node is not null")
+    clashes = frozenset(r.node for r in with_words.groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y")).filter("x <> y").collect())
+    if clashes:
+        sets = sets.withColumn("node", F.when(F.col("node").isin(*clashes), F.col("other")).otherwise(F.col("node")))
+        with_words = sets.filter("node is not null")
+    each = with_words.groupBy("node").agg(F.first("n").alias("size"), F.min("id").alias("id"), F.count("*").alias("copies"))
+    each = ws.stage(each.select("node", "id", "copies", alike("size").alias("a")).select("node", "id", "copies", "a.*"), "each")
     salt = F.when(F.col("pivot").isNull() | (F.col("pivot") == F.col("node")), 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.lit(1000))).cast("int")
     posts = rows.select("text").mapInArrow(post, POSTS).repartition(F.col("content"), salt).sortWithinPartitions("content", "node")
     lists = ws.stage(posts.mapInArrow(meet, "content long, node long"), "lists")
@@ -283,18 +315,20 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
     # A fragment that no other set has differs from any partner's: sets with too few others are linked with none.
     flag = F.col("content").bitwiseAND(F.lit(3))
     met = lists.groupBy("node").agg(F.count_if(flag == 0).alias("even"), F.count_if(flag == 1).alias("odd"), F.count_if(flag == 2).alias("free"))
-    needs = sets.filter("node is not null").groupBy("node").agg(F.first("alike_even").alias("alike_even"), F.first("alike_odd").alias("alike_odd"))
-    nodes = ws.stage(met.join(needs, "node").filter("even >= alike_even or odd >= alike_odd or free > 0").select("node"), "nodes")
+    nodes = ws.stage(met.join(each, "node").filter("even >= alike_even or odd >= alike_odd or free > 0").select("node", "id"), "nodes")
+    chosen = nodes.select("id").distinct()
+    if nodes.count() <= BROADCAST_IDS:  # else the texts are shuffled by id
+        chosen = F.broadcast(chosen)
+    nodes = nodes.select("node")
     lists = lists.join(nodes, "node", "left_semi")
 
     # The n-grams of the nodes that meet others, by fragment of the order.
-    chosen = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = Sets(batch.column(0).to_pylist(), width)
             node, part, grams = [], [], []
-            for i, me in zip(sets.some.tolist(), sets.nodes().tolist(), strict=True):
+            for i, me in zip(sets.some.tolist(), sets.nodes(clashes).tolist(), strict=True):
                 found = sets.of(i)
                 edge = np.searchsorted(((found >> np.uint64(32)) * np.uint64(PARTS)) >> np.uint64(32), np.arange(PARTS + 1, dtype=np.uint64))
                 for p in range(PARTS):
@@ -333,8 +367,9 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
 
     # Star: with the most central set of each content, that with the largest share in common.
     middle = members.groupBy("content").agg(F.max(F.struct((F.col("common") / F.col("n")).alias("share"), "node", "n", "common")).alias("m"), F.count("*").alias("sets")).filter("sets > 1")
-    middle = middle.select("content", F.col("m.node").alias("pivot"), F.col("m.n").alias("pn"), F.col("m.common").alias("pc"))
-    star = members.join(middle, "content").filter((F.col("node") != F.col("pivot")) & able("n", "pn", "common", "pc")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    middle = middle.select("content", "sets", F.col("m.node").alias("pivot"), F.col("m.n").alias("pn"), F.col("m.common").alias("pc"))
+    n = members.count()
+    star = join_spread(members, ws.stage(middle, "middle"), ["content"], "sets", n, F.col("node")).filter((F.col("node") != F.col("pivot")) & able("n", "pn", "common", "pc")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     tested = ws.stage(overlaps(star), "tested")
     ws.release()
     component = ws.stage(connected_components(tested.filter("linked").select("a", "b"), ws), "first-components")
@@ -343,8 +378,8 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
     # of one family are compared in tiles of bounded size, and only links leave a comparison.
     here = ws.stage(members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")), "here")
     ws.drop("members")
-    split = here.groupBy("content").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("node").alias("lead")).filter("x <> y").select("content", "lead")
-    here = here.join(split, "content")
+    split = here.groupBy("content").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("node").alias("lead"), F.count("*").alias("sets")).filter("x <> y").select("content", "lead", "sets")
+    here = join_spread(here, ws.stage(split, "split"), ["content"], "sets", n, F.col("node")).drop("sets")
     family = connected_components(here.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), ws, "families")
     left = ws.stage(family.select("node", F.col("component").alias("family")).join(here.select("node", "component", "n", "common").distinct(), "node"), "left")
     ws.release()
@@ -354,9 +389,13 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
     if more.limit(1).count():
         component = ws.stage(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), ws, "all"), "components")
 
-    placed = ws.stage(sets.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    least = placed.filter("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
-    return placed.join(least, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    placed = ws.stage(each.join(component, "node", "left").select("node", "id", "copies", F.coalesce("component", "node").alias("component")), "placed")
+    least = ws.stage(placed.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("sets")), "least")
+    n = placed.count()
+    by_node = ws.stage(join_spread(placed, least, ["component"], "sets", n, F.col("node")).select("node", "copies", "component_id"), "by-node")
+    found = join_spread(sets.filter("node is not null"), by_node, ["node"], "copies", n, F.col("row")).select("id", "n", "component_id")
+    found = found.unionByName(sets.filter("node is null").select("id", "n", F.col("id").alias("component_id")))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 LINKS = "a long, b long"
@@ -425,8 +464,8 @@ def links_between(a: Tile, b: Tile, num: int, den: int) -> list[tuple[int, int]]
 def _compare_families(left: DataFrame, spelt: DataFrame, num: int, den: int, ws: Workspace) -> DataFrame:
     """Links (a, b) between the sets of left that are of one family and in different components."""
     grams = spelt.join(left.select("node"), "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("part", "grams"))).alias("g"))  # PARTS rows each
-    sizes = left.groupBy("family").agg(F.sum(F.col("n") + SET_COST).alias("size"))
-    rows = left.join(sizes, "family").join(grams.select("node", F.flatten("g.grams").alias("grams")), "node").select("family", "size", "node", "component", F.col("n").cast("long").alias("n"), F.col("common").cast("long").alias("common"), "grams")
+    sizes = ws.stage(left.groupBy("family").agg(F.sum(F.col("n") + SET_COST).alias("size"), F.count("*").alias("sets")), "family-sizes")
+    rows = join_spread(left, sizes, ["family"], "sets", left.count(), F.col("node")).join(grams.select("node", F.flatten("g.grams").alias("grams")), "node").select("family", "size", "node", "component", F.col("n").cast("long").alias("n"), F.col("common").cast("long").alias("common"), "grams")
     rows = ws.stage(rows, "family-rows")
     result = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -444,10 +483,11 @@ def _compare_families(left: DataFrame, spelt: DataFrame, num: int, den: int, ws:
             out += links_between(tile, tile, num, den)
         return table(out)
 
-    bucket = F.pmod(F.xxhash64("family"), F.lit(4096)).cast("int")
+    total, largest = sizes.agg(F.coalesce(F.sum(F.when(F.col("size") <= TILE_GRAMS, F.col("size"))), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    bucket = F.pmod(F.xxhash64("family"), F.lit(max(64, total // (4 * TILE_GRAMS)))).cast("int")  # some tiles' n-grams each
     small = rows.filter(F.col("size") <= TILE_GRAMS).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(within, LINKS)
 
-    if not sizes.filter(F.col("size") > TILE_GRAMS).limit(1).count():
+    if largest <= TILE_GRAMS:
         return small
 
     # Larger ones: tiles are files in the shared folder, and pairs of their names are dealt to tasks.
