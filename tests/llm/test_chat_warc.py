@@ -82,7 +82,7 @@ def test_index_files_of_failed_attempts_are_not_read(spark, monkeypatch):
     normalise = warc.normalise
 
     def failing_first(files, root):
-        done = normalise(files, root).localCheckpoint()
+        done = Workspace(files.sparkSession, "test").stage(normalise(files, root), "done")
         folder = root.removeprefix("file://")
         for r in done.collect():
             data = open(r["index"].removeprefix("file:").replace("///", "/"), "rb").read()
@@ -98,6 +98,13 @@ def test_index_files_of_failed_attempts_are_not_read(spark, monkeypatch):
     assert sorted(r.page_id for r in warc.read_archives(index).collect()) == list(range(1200))
 
 
+def test_many_repeats_are_joined_by_a_shuffle(spark):
+    pages = [(k, "u", "hot" if k % 3 else f"page {k // 6}") for k in range(900)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    rows = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(warc.archive(df, broadcast_groups=0)).collect()]
+    assert sorted(rows) == sorted(brute([(k, t) for k, _, t in pages]))
+
+
 def test_smaller_payloads_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd"), (4, "u", "abcd"), (3, "u", "abcd"), (None, "u", "abcd")], "page_id long, url string, html string")
     rows = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(warc.archive(df, min_bytes=3)).collect()), key=str)

@@ -27,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace
+from tidemark.llm.common import Workspace, join_spread
 
 #: Bytes that are read at once, and rows of an index.
 PIECE, INDEX_ROWS = 1 << 20, 500
+#: Repeated payloads (about 100 bytes each) that are broadcast to find their rows; more are joined by a shuffle.
+BROADCAST_GROUPS = 500_000
 # Fixed values of the formats: the revisit profile of WARC 1.1 and the date of all records.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -119,17 +121,24 @@ def _per_task(f: Callable[[str, Iterator[pa.RecordBatch]], list[tuple]], kinds:
     return run
 
 
-def write_archives(df: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, level: int = 6) -> DataFrame:
+def write_archives(df: DataFrame, root: str, ws: Workspace, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, level: int = 6, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """Write each row as a record into gzip files (one stream each) under root; returns path, records by file.
 
     A null payload is empty. Of the rows with equal payloads of at least min_bytes, that with the smallest id is the
     response and the others are revisits of it; rows that repeat the smallest id with the same payload are responses
-    too, and a null id is a revisit wherever another id has its payload. Empty partitions write no file.
+    too, and a null id is a revisit wherever another id has its payload. Empty partitions write no file; an empty table
+    writes none. Payloads stay where they are read unless more of them repeat than can be broadcast; the rows of a hot
+    payload are split then.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"))
     key = F.sha2("payload", 256)
-    groups = rows.filter(F.octet_length("payload") >= min_bytes).groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select("key", "first")
-    rows = rows.withColumn("key", key).join(groups, "key", "left").select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    groups = rows.filter(F.octet_length("payload") >= min_bytes).groupBy(F.unhex(key).alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
+    groups, rows = ws.stage(groups, "repeats"), rows.withColumn("key", F.unhex(key))
+    if groups.count() <= broadcast_groups:
+        rows = rows.join(F.broadcast(groups), "key", "left")
+    else:
+        rows = join_spread(rows, groups, ["key"], "n", rows.count(), F.col("id"), "left")
+    rows = rows.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def write(name: str, batches: Iterator[pa.RecordBatch]) -> list[tuple]:
         path, out, n = f"{root}/{name}.warc.gz", None, 0
@@ -233,10 +242,10 @@ def archive(df: DataFrame, **options) -> DataFrame:
     """Write, normalise and index df's rows; returns the index (one row per record) of the archives in the shared folder."""
     spark = df.sparkSession
     ws = Workspace(spark, "warc")
-    files = ws.stage(write_archives(df, f"{ws.path}/monolithic", **options), "files")
+    files = ws.stage(write_archives(df, f"{ws.path}/monolithic", ws, **options), "files")
     n = max(files.count(), 1)
-    done = ws.stage(normalise(files.repartition(n, "path"), f"{ws.path}/archives"), "normalised")
+    done = ws.stage(normalise(files.repartition(n), f"{ws.path}/archives"), "normalised")
     ws.drop("monolithic")
     if done.limit(1).count() == 0:
         return spark.createDataFrame([], INDEX)
-    return read_index(done.repartition(n, "index"))
+    return read_index(done.repartition(n))
