@@ -6,30 +6,33 @@ node's counts give a Krichevsky-Trofimov estimate, and the weighted probability
 the product of its children's, so the predictions mix all depths by how well each has coded the training texts. A
 context that training never showed ends its path: the estimate there is that of the node above.
 
-Documents are dealt to chunks of bounded size. Each chunk gives its distinct byte strings of DEPTH + 1 and its
-distinct words with their counts in training documents; these are summed over all chunks. Strings that share their
-last two context bytes form a group, in which all deeper nodes lie (at most 256 ** (DEPTH - 1) strings, whatever the
-data's size); the nodes above (65,280 at most a level) are finished on the driver. Then each chunk gets the values of
-its own strings and words back and adds them up by document. No table that grows with the data is broadcast.
+Documents are dealt by their place in the table to chunks of bounded size. Each chunk gives its distinct byte strings
+of DEPTH + 1 and its distinct words with their counts in training documents; these are summed over all chunks. Strings
+that share their last two context bytes form a group, in which all deeper nodes lie (at most 256 ** (DEPTH - 1) strings,
+whatever the data's size); a group is worked off in slices of whole third bytes. The nodes above (65,280 at most a
+level) are finished on the driver. Then each chunk gets the values of its own strings and words back and adds them up
+by document. No table that grows with the data is broadcast.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidemark.llm.common import Workspace
+from tidemark.llm.common import Workspace, with_place
 
 #: Bytes of context.
 DEPTH = 4
-#: Bytes of text of a chunk, and of the documents that are coded at once.
-CHUNK_BYTES, CODED_BYTES = 24 << 20, 1 << 20
+#: Bytes of text of a chunk, and of the documents that are coded at once; strings of a slice of a group; of a group whose slices are kept.
+CHUNK_BYTES, CODED_BYTES, SLICE, KEPT = 24 << 20, 1 << 20, 1 << 16, 1 << 19
+#: Counts by block that a chunk holds before it adds them up.
+HELD = 1 << 20
 _HALF = np.log(0.5)
 
 
@@ -53,7 +56,7 @@ def coded(documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return code[inside], np.concatenate(([0], np.cumsum(lengths - DEPTH)[:-1]))
 
 
-def blocks(texts: pa.ChunkedArray):
+def blocks(texts: Iterable[pa.StringScalar]):
     """The words of texts, in runs of bounded bytes; a chunk's words are never held all at once."""
     held, size = [], 0
     for text in texts:
@@ -69,20 +72,23 @@ def blocks(texts: pa.ChunkedArray):
 
 def counts_of_chunk(docs: pa.Table) -> pa.Table:
     """The chunk's distinct strings and words, with their counts in its training documents (0: elsewhere only)."""
-    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = [pd.Series([], np.zeros(0, np.int64), np.int64)]
     words: Counter[bytes] = Counter()
+    learn = docs["learn"].to_numpy()
     for on in (True, False):
-        for block in blocks(docs.filter(pc.equal(docs["learn"], on))["text"]):
-            code, n = np.unique(coded(block)[0], return_counts=True)
-            both, at = np.unique(np.concatenate((codes, code)), return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate((counts, n * on)), minlength=len(both)).astype(np.int64)
-            codes = both
+        for block in blocks(text for text, learns in zip(docs["text"], learn, strict=True) if learns == on):
+            n = pd.Series(coded(block)[0]).value_counts(sort=False)  # by a hash table, which takes less than sorting
+            found.append(n if on else n * 0)
+            if sum(map(len, found[1:])) > HELD:
+                found = [_added(found)]
             for d in block:
                 if on:
                     words.update(d)
                 else:
                     for w in d:
                         words.setdefault(w, 0)
+    both = _added(found)
+    codes, counts = both.index.to_numpy(), both.to_numpy()
     m, k = len(codes), len(words)
     return pa.table({
         "chunk": pa.repeat(docs["chunk"][0], m + k),
@@ -92,6 +98,10 @@ def counts_of_chunk(docs: pa.Table) -> pa.Table:
     }).combine_chunks()
 
 
+def _added(counts: list[pd.Series]) -> pd.Series:
+    return pd.concat(counts).groupby(level=0, sort=False).sum()
+
+
 COUNTS = "chunk int, code long, word binary, n long"
 
 
@@ -139,23 +149,56 @@ def expand(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return np.repeat(code, 8), node.ravel(), bit.ravel(), np.repeat(n, 8)
 
 
-def local_levels(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[Level]]:
-    """Of one group: decisions, bits, and the levels of depths 2 to DEPTH (in this order)."""
-    wide, node, bit, count = expand(code, n)
-    levels: list[Level] = []
-    for depth in range(DEPTH, 1, -1):
-        context = (wide >> 8) & ((1 << (8 * depth)) - 1)
-        level = Level(context << 8 | node, bit, count)
-        levels.insert(0, level.above(levels[0]) if levels else level)
-    return node, bit, levels
-
-
-def summary(group: pa.Table) -> pa.Table:
+class Slice:
+    """Strings of a group that share their third bytes with no other slice: decisions, bits, levels of depths 3 to DEPTH."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray):
+        wide, self.node, self.bit, self.n = expand(code, n)
+        self.levels: list[Level] = []
+        for depth in range(DEPTH, 2, -1):
+            context = (wide >> 8) & ((1 << (8 * depth)) - 1)
+            level = Level(context << 8 | self.node, self.bit, self.n)
+            self.levels.insert(0, level.above(self.levels[0]) if self.levels else level)
+
+
+class Group:
+    """The strings of one group in slices, and its nodes of depth 2 as dense tables by decision."""
+
+    def __init__(self, table: pa.Table):
+        code, n = table["code"].to_numpy(), table["n"].to_numpy()
+        order = np.argsort(code >> 24 & 255, kind="stable")
+        self.code, self.n = code[order], n[order]
+        edges, sizes = [0], np.cumsum(np.bincount(code >> 24 & 255, minlength=256)).tolist()
+        for before, upto in zip([0, *sizes], sizes, strict=False):
+            if upto - edges[-1] > SLICE and before > edges[-1]:
+                edges.append(before)
+        self.edges = [*edges, len(code)]
+        self.kept = [] if len(code) <= KEPT else None
+        self.counts, self.inner = np.zeros((256, 2)), np.zeros(256)
+        for part in self.parts():
+            self.counts += np.bincount(part.node * 2 + part.bit, weights=part.n, minlength=512).reshape(256, 2)
+            below = part.levels[0]
+            self.inner += np.bincount(part.node[below.first], weights=below.weighted, minlength=256)
+            if self.kept is not None:
+                self.kept.append(part)
+        own = log_kt(self.counts[:, 0], self.counts[:, 1])
+        self.weighted = np.logaddexp(_HALF + own, _HALF + self.inner)
+        self.share = np.exp(_HALF + own - self.weighted)
+
+    def parts(self):
+        if self.kept:
+            yield from self.kept
+        else:
+            for a, b in zip(self.edges, self.edges[1:], strict=False):
+                yield Slice(self.code[a:b], self.n[a:b])
+
+
+def summary(table: pa.Table) -> pa.Table:
     """The depth-2 nodes of a group: what the nodes above need."""
-    code, n = group["code"].to_numpy(), group["n"].to_numpy()
-    _, _, levels = local_levels(code, n)
-    top = levels[0]
-    return pa.table({"c1": pa.array((top.keys >> 8) & 255), "node": pa.array(top.keys & 255), "zeros": pa.array(top.counts[:, 0]), "ones": pa.array(top.counts[:, 1]), "inner": pa.array(top.weighted)})
+    group = Group(table)
+    node = np.flatnonzero(group.inner != 0)
+    c1 = np.full(len(node), group.code[0] >> 8 & 255)
+    return pa.table({"c1": pa.array(c1), "node": pa.array(node), "zeros": pa.array(group.counts[node, 0]), "ones": pa.array(group.counts[node, 1]), "inner": pa.array(group.weighted[node])})
 
 
 class Upper:
@@ -176,20 +219,23 @@ class Upper:
             self.share.insert(0, np.exp(_HALF + own - weighted))
 
 
-def price(group: pa.Table, upper: Upper) -> pa.Table:
+def price(table: pa.Table, upper: Upper) -> pa.Table:
     """log10 of each string's last byte's probability after its context."""
-    code, n = group["code"].to_numpy(), group["n"].to_numpy()
-    node, bit, levels = local_levels(code, n)
-    c1 = np.repeat((code >> 8) & 255, 8)
-    estimates = [(upper.counts[0][node], upper.share[0][node]), (upper.counts[1][c1, node], upper.share[1][c1, node])]
-    estimates += [(level.counts[level.at], level.share[level.at]) for level in levels]
-    p = seen = None
-    for counts, share in reversed(estimates):
-        total = counts.sum(axis=1)
-        own = (counts[np.arange(len(bit)), bit] + 0.5) / (total + 1)
-        p = own if p is None else np.where(seen, share * own + (1 - share) * p, own)
-        seen = total > 0
-    return pa.table({"code": pa.array(code), "value": pa.array(np.log10(p).reshape(-1, 8).sum(axis=1))})
+    group = Group(table)
+    c1 = int(group.code[0]) >> 8 & 255
+    dense = [(upper.counts[0], upper.share[0]), (upper.counts[1][c1], upper.share[1][c1]), (group.counts, group.share)]
+    values = []
+    for part in group.parts():
+        estimates = [(counts[part.node], share[part.node]) for counts, share in dense]
+        estimates += [(level.counts[level.at], level.share[level.at]) for level in part.levels]
+        p = seen = None
+        for counts, share in reversed(estimates):
+            total = counts.sum(axis=1)
+            own = (counts[np.arange(len(part.bit)), part.bit] + 0.5) / (total + 1)
+            p = own if p is None else np.where(seen, share * own + (1 - share) * p, own)
+            seen = total > 0
+        values.append(np.log10(p).reshape(-1, 8).sum(axis=1))
+    return pa.table({"code": pa.array(group.code), "value": pa.array(np.concatenate(values))})
 
 
 def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,15 +243,16 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 
     Columns: the id, learn, n_tokens (words and one end), n_known (tokens that training has), train_tokens, base_score
     (add-0.1 unigram), score (log10 probability of the text), n_bytes, bits_per_byte. A null text is empty: its end
-    alone is scored. Rows are independent, so repeated rows and ids get a row each. With no training rows all
-    estimates are 1/2. An empty table gives an empty result; other columns are not read.
+    alone is scored. Rows are independent, so repeated rows and null or repeated ids get a row each and are spread over
+    the chunks like others; a very long text makes its chunk longer by itself. With no training rows all estimates are
+    1/2. An empty table gives an empty result; other columns are not read.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "ctw")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    rows = with_place(df, ws).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), "__place")
     size, ends = rows.agg(F.sum(F.octet_length("text")), F.count_if("learn")).first()
     chunks = max(1, -(-(size or 0) // CHUNK_BYTES))
-    docs = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
+    docs = rows.withColumn("chunk", F.pmod(F.xxhash64("__place"), F.lit(chunks)).cast("int")).drop("__place")
     counts = ws.stage(docs.select("chunk", "text", "learn").groupBy("chunk").applyInArrow(counts_of_chunk, COUNTS), "counts")
 
     strings = counts.filter("code is not null")
@@ -216,12 +263,11 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     valued = strings.select("chunk", "code").join(priced, "code").select("chunk", "code", F.lit(None).cast("binary").alias("word"), "value")
 
     # A word's rows: one for each chunk that has it.
-    word = Window.partitionBy("word")
-    words = counts.filter("word is not null").withColumn("c", F.sum("n").over(word)).withColumn("first", F.row_number().over(word.orderBy("chunk")) == 1)
-    words = ws.stage(words.select("chunk", "word", "n", "c", "first"), "words")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("first") & (F.col("c") > 0))).first()
+    words = counts.filter("word is not null")
+    of_word = ws.stage(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    total, distinct = of_word.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     total, distinct = total + ends, distinct + (ends > 0)
-    known = words.select("chunk", F.lit(None).cast("long").alias("code"), "word", F.col("c").cast("double").alias("value"))
+    known = words.select("chunk", "word").join(of_word, "word").select("chunk", F.lit(None).cast("long").alias("code"), "word", F.col("c").cast("double").alias("value"))
     floor = np.log10(total + 0.1 * (distinct + 1))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, learn boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
@@ -230,8 +276,7 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         value = values["value"].to_numpy()
         is_code = values["code"].is_valid().to_numpy()
         code = values["code"].filter(pa.array(is_code)).to_numpy()
-        order = np.argsort(code)
-        code, logs = code[order], value[is_code][order]
+        place, logs = pd.Index(code), value[is_code]
         c = value[~is_code]
         names = values["word"].filter(pa.array(~is_code)).to_pylist()
         base = dict(zip(names, (np.log10(c + 0.1) - floor).tolist(), strict=True))
@@ -241,7 +286,7 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         out: list[tuple] = []
         for block in blocks(docs["text"]):
             strings, start = coded(block)
-            sums = np.add.reduceat(logs[np.searchsorted(code, strings)], start)
+            sums = np.add.reduceat(logs[place.get_indexer(strings)], start)
             sizes = np.diff(np.append(start, len(strings)))
             for d, s, b in zip(block, sums.tolist(), sizes.tolist(), strict=True):
                 new = sum(map(fresh.__contains__, d))
