@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace
+from tidemark.llm.common import Workspace, join_spread
 from tidemark.llm.components import connected_components
 
 #: Vectors that the axes and the split are fitted on; vectors of a tile; leading axes of the boxes; levels of the split (4096 cells at most).
@@ -185,12 +185,12 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
         component = connected_components(edges, ws)
         least = component.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
         found = classes.join(links, "node", "left").join(component.join(least, "component"), "node", "left")
-        found = ws.stage(found.select("v", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")), "found")
+        found = ws.stage(found.select("v", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")), "found")
     else:
-        found = classes.select("v", F.lit(0).cast("long").alias("n_links"), F.col("least").alias("component_id"))
-    out = rows.withColumn("v", F.when(sound, F.col("v"))).join(found, "v", "left")
-    component_id = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.col("id").eqNullSafe(component_id).alias("kept"))
+        found = classes.select("v", "size", F.lit(0).cast("long").alias("n_links"), F.col("least").alias("component_id"))
+    out = join_spread(rows.filter(sound), found, ["v"], "size", rows.count(), F.col("id")).select("id", "n_links", F.coalesce("component_id", "id").alias("component_id"))
+    out = out.unionByName(rows.filter(~sound).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _compare(classes: DataFrame, split: Split, width: int, threshold: float, tile: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -209,16 +209,23 @@ def _compare(classes: DataFrame, split: Split, width: int, threshold: float, til
     boxes = dealt.groupBy("cell").agg(F.count("*").alias("n"), *(f(F.col("lead")[d]).alias(f"{name}{d}") for d in range(dims) for name, f in (("lo", F.min), ("hi", F.max)))).orderBy("cell").collect()  # at most 2 ** LEVELS rows
     subs = {r.cell: -(-r.n // tile) for r in boxes}
     lo, hi = (np.array([[r[f"{name}{d}"] for d in range(dims)] for r in boxes]) for name in ("lo", "hi"))
-    pairs = []
-    for k, r in enumerate(boxes):
-        near = np.flatnonzero(box_gap(lo[k], hi[k], lo[k:], hi[k:]) <= 2 - 2 * threshold + NEAR) + k
-        pairs += [(r.cell, subs[r.cell], boxes[m].cell, subs[boxes[m].cell]) for m in near.tolist()]
+    cell, tiles_of = np.array([r.cell for r in boxes], np.int32), np.array([subs[r.cell] for r in boxes], np.int32)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cells from each given one (by its place among the boxes) on whose box is near enough."""
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                found = np.flatnonzero(box_gap(lo[k], hi[k], lo[k:], hi[k:]) <= 2 - 2 * threshold + NEAR) + k
+                one = np.ones(len(found), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one * cell[k], one * tiles_of[k], cell[found], tiles_of[found])], names=["a", "na", "b", "nb"])
+
+    pairs = spark.range(len(boxes)).repartition(max(1, len(boxes) // 64)).mapInArrow(near, "a int, na int, b int, nb int")
     of = spark.createDataFrame([(c, s) for c, s in subs.items()], "cell int, subs int")
     tiles = dealt.join(F.broadcast(of), "cell").withColumn("sub", F.pmod(F.xxhash64("node"), "subs").cast("int")).drop("lead", "subs")
     tiles.repartition("cell", "sub").write.partitionBy("cell", "sub").parquet(f"{ws.path}/tiles")
     root = f"{ws.path}/tiles"
     # Of one cell, each pair of its tiles once.
-    work = spark.createDataFrame(pairs, "a int, na int, b int, nb int").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).filter("a < b or i <= j")
+    work = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).filter("a < b or i <= j")
     there = tiles.select("cell", "sub").distinct()  # hashing may leave a tile without vectors
     for cell, sub in (("a", "i"), ("b", "j")):
         work = work.join(there.toDF(cell, sub), [cell, sub], "left_semi")
