@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +45,60 @@ def test_language_edge_cases(spark):
     assert none.predict(["the"])[0] == ["und"]
 
 
+def test_query_against_plain_profiles(spark, small):
+    """op3 whole: prototypes added up document by document, then one cosine after the other."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").collect()
+    sums = {}
+    for d in docs:
+        if d.text and d.lang is not None and zlib.crc32(str(d.doc_id).encode()) % 5:
+            sums[d.lang] = sums.get(d.lang, 0) + langid.profiles([d.text])[0].astype(float)
+    names = sorted(k for k, v in sums.items() if v.any())
+    unit = lambda v: v / np.linalg.norm(v)
+    prototypes = [unit(sums[k]) for k in names]
+    mean = np.mean(prototypes, axis=0)
+    prototypes = [unit(p - mean) for p in prototypes]
+    found = {r.doc_id: r for r in QUERIES["op3_language_id"](spark, small).collect()}
+    assert len(found) == len(docs)
+    for d in docs:
+        vector, r = langid.profiles([d.text or ""])[0], found[d.doc_id]
+        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 5 == 0)
+        if not vector.any():
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        cosines = np.array([unit(vector - mean) @ p for p in prototypes])
+        top = np.sort(cosines)[::-1]
+        assert r.lang_pred == names[int(cosines.argmax())] or top[0] - top[1] < 1e-4
+        assert abs(r.score - 1 / np.exp(langid.STEEPNESS * (cosines - cosines.max())).sum()) < 1e-3
+
+
+def test_languages_are_bounded(spark):
+    df = spark.createDataFrame([(f"text of language {k}", f"l{k}") for k in range(9) for _ in range(9 - k)], "text string, lang string")
+    assert langid.train(df, languages=3).languages == ["l0", "l1", "l2"]
+
+
+def test_repeated_ids_and_clashing_labels_train_once(spark):
+    docs = spark.createDataFrame([(k % 4, f"text number {k % 8}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 4, k % 2) for k in range(40)] + [(0, 1)], "doc_id long, quality int")
+    kept = []
+    fit = quality.fit
+    try:
+        quality.fit = lambda x, y: kept.append((len(x), y.tolist())) or fit(x, y)
+        quality.train(docs, labels, sample=3)
+    finally:
+        quality.fit = fit
+    assert kept[0][0] == 3
+
+
+def test_quality_query_against_one_document_at_a_time(spark, small):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{small}/labels.parquet").filter("quality is not null").collect()
+    learned = sorted((r.doc_id, r.quality) for r in labels if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in docs)
+    model = quality.fit(quality.features([docs[i] for i, _ in learned]), np.array([y for _, y in learned], float))
+    for r in QUERIES["op9_quality"](spark, small).collect():
+        assert abs(r.score - model.score(quality.features([docs[r.doc_id]]))[0]) < 1e-9
+        assert r.predicted == (r.score >= 0.3)
+
+
 def test_trees_learn_and_flatten():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 5))

@@ -26,6 +26,8 @@ DIMENSIONS, ORDER, STEEPNESS = 1024, 3, 12.0
 #: Documents and distinct n-grams that are multiplied at once.
 DOCS, SLAB = 256, 4096
 UNKNOWN = "und"
+#: Languages that a model has at most: those with the most rows (ties: by name).
+LANGUAGES = 500
 #: Letters at which the classes of length begin, short texts' profiles being noisy; steps of a cosine of 1 that floors are told by.
 LENGTHS, STEPS = (0, 200), 1000
 RESULT = "lang_pred string, score double, similarity double"
@@ -127,8 +129,15 @@ class LanguageModel:
         return [UNKNOWN if e else self.languages[b] for e, b in zip(empty, best, strict=True)], np.where(empty, 0, score), np.where(empty, -1, top)
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Prototypes from all rows with a language and a text with letters; a model without languages if there are none."""
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", languages: int = LANGUAGES) -> LanguageModel:
+    """Prototypes from all rows with a language and a text with letters; a model without languages if there are none.
+
+    At most `languages` languages are learned, those with the most rows, so a column with many stray values can't make
+    the model grow. Rows with a null language or text teach nothing, repeated rows count each time, texts count whole
+    whatever their length, and other columns are not read.
+    """
+    lang = F.col(lang_col).cast("string")
+    names = [r.lang for r in df.filter(lang.isNotNull() & F.col(text_col).isNotNull()).groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -139,7 +148,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Lang
                 sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0, dtype=np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
+    rows = df.select(lang.alias("lang"), F.col(text_col).alias("text")).dropna().filter(F.col("lang").isin(names))
     # Each sum in units of 2**-20, so that the order in which tasks end can't change the total.
     parts = rows.mapInArrow(bundle, "lang string, v array<double>").select("lang", F.posexplode("v").alias("d", "x"))
     totals = parts.groupBy("lang", "d").agg(F.sum(F.round(F.col("x") * 2**20).cast("long")).alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"))
@@ -155,7 +164,10 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Lang
 
 
 def predict(model: LanguageModel, text: Column) -> Column:
-    """A struct column (lang_pred, score, similarity) of a text column; null counts as a text without letters."""
+    """A struct column (lang_pred, score, similarity) of a text column; null counts as a text without letters.
+
+    Whole texts count, however long; equal texts get equal results, and of languages with equal cosines the first by name wins.
+    """
     shared = model
 
     @F.pandas_udf(RESULT)

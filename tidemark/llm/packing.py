@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import Workspace
+from tidemark.llm.common import Workspace, with_place
 
 #: Tokens of a sequence; the id that ends each document.
 CAPACITY, END_ID = 1024, 0
@@ -30,8 +30,8 @@ CAPACITY, END_ID = 1024, 0
 GAP, PIVOTS = 0.001, 4000
 #: Patterns that one knapsack adds at most.
 COLUMNS = 40
-#: Buckets that the pieces of one length are ranked in.
-BUCKETS = 256
+#: Buckets that the pieces of one length are ranked in at least; pieces of a bucket on the average at most.
+BUCKETS, BUCKET_ROWS = 256, 200_000
 # Fixed value: the split pattern of byte-level BPE (public, as of the tokenizer file's pre-tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -56,7 +56,11 @@ _encodings: dict[int, tiktoken.Encoding] = {}
 
 
 def cut(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise each text (null: empty), add the end id, cut: doc_id, start, length, ids_crc32, doc_tokens by piece."""
+    """Tokenise each text (null: empty), add the end id, cut: doc_id, start, length, ids_crc32, doc_tokens by piece.
+
+    Rows are independent: repeated rows and null or repeated ids give pieces each, a very long text gives as many as it
+    needs, an empty table none; columns other than the two named are not read.
+    """
     spark = df.sparkSession
     with open(tokenizer_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
@@ -198,16 +202,20 @@ def places(patterns: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give each piece (doc_id, start, length of 1 to capacity, others) a sequence_id and an offset there.
 
-    Ranks within a length are counted in BUCKETS hash buckets, so that a length with most of the pieces is ranked by
-    many tasks. Repeated rows and null ids are pieces like any other; no pieces give an empty result.
+    Ranks within a length are counted in buckets of the pieces' places, as many as the table needs, so that a length
+    with most of the pieces is ranked by many tasks. Repeated rows and null ids are pieces like any other; no pieces
+    give an empty result.
     """
     ws = Workspace(pieces.sparkSession, "packing")
-    pieces = ws.stage(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS)).cast("int")), "pieces")
-    counts = ws.stage(pieces.groupBy("length", "bucket").count(), "counts")  # at most capacity x BUCKETS rows
+    names = pieces.columns
+    pieces = with_place(ws.stage(pieces, "pieces"), ws)
+    buckets = max(BUCKETS, pieces.count() // BUCKET_ROWS)
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("__place"), F.lit(buckets)).cast("int"))
+    counts = ws.stage(pieces.groupBy("length", "bucket").count(), "counts")  # at most capacity x buckets rows
     histogram = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     table = places(plan(histogram, capacity))
     before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start"))
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("__place"))
     ranked = pieces.withColumn("own", own).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("own") - 1)
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -218,5 +226,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         at = np.searchsorted(table["key"], key, side="right") - 1
         return pd.DataFrame({"sequence_id": table["sequence"][at] + rank.to_numpy() - table["rank"][at], "offset": table["offset"][at]})
 
-    kept = [c for c in pieces.columns if c != "bucket"]
-    return ranked.withColumn("place", place("length", "rank")).select(*kept, "place.sequence_id", "place.offset")
+    return ranked.withColumn("__at", place("length", "rank")).select(*names, "__at.sequence_id", "__at.offset")

@@ -119,9 +119,15 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Trees:
-    """Fit on at most `sample` labelled rows: those with the least hash of the id. Null ids and labels are left out."""
-    picked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
+    """Fit on at most `sample` labelled documents: those with the least hash of the id.
+
+    Null ids and labels are left out; of several labels of one id the least holds, and of several documents with one id
+    the text with the least hash. A null text is empty, texts count whole whatever their length, and other columns are
+    not read. Without labelled documents, or with labels of one kind alone, the model is a constant.
+    """
+    picked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")  # at most `sample` ids
+    rows = rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t")).select("id", "y", "t.text")
 
     @F.pandas_udf("array<double>")
     def measure(texts: pd.Series) -> pd.Series:
@@ -133,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(model: Trees, text: Column) -> Column:
-    """The score (0 to 1) of a text column; a null text counts as empty."""
+    """The score (0 to 1) of a text column, by the whole text alone; a null text counts as empty, equal texts score alike."""
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
