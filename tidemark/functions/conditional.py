@@ -205,3 +205,9 @@ def quote_identifier(s: Column) -> Column:
 def extract_value(xml: Column, path: str) -> Column:
     """EXTRACTVALUE: the text at an XPath."""
     return F.xpath_string(xml, F.lit(path))
+
+
+def random_bytes(n: Column) -> Column:
+    """n random bytes, 1 to 1024; NULL for other lengths."""
+    more = F.concat(*(F.unhex(F.sha2(F.uuid(), 512)) for _ in range(16)))
+    return F.when(n.between(1, 1024), F.substring(more, F.lit(1), n))

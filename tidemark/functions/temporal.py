@@ -222,6 +222,14 @@ def date_add(ts: Column, amount: int | str, unit: str) -> Column:
     return add_time(ts, F.lit(int(amount) * _MICROS[unit]))
 
 
+def date_add_column(ts: Column, amount: Column, unit: str) -> Column:
+    """ts + INTERVAL amount unit for a simple unit and an amount in a column."""
+    unit = unit.upper()
+    if unit in _MONTHS:
+        return ts + F.make_ym_interval(F.lit(0), (amount * _MONTHS[unit]).cast("int"))
+    return add_time(ts, amount.cast("long") * _MICROS[unit])
+
+
 def date_sub(ts: Column, amount: int | str, unit: str) -> Column:
     text = str(amount).strip()
     return date_add(ts, text[1:] if text.startswith("-") else f"-{text}", unit)

@@ -183,6 +183,15 @@ def partitions(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter(keep)
 
 
+@op("outfile_escapes_round_trip", """SELECT * FROM (VALUES (1, 'a|b', 'x'), (2, 'two' || chr(10) || 'lines', ''), (3, '', 'y'), (4, NULL, 'z'), (5, chr(92) || 'N', chr(92)), (6, 'tab' || chr(9) || chr(13), 'q"uote'), (7, '|', '||')) t(k, a, b)""")
+def outfile_escapes(spark, sf_dir):
+    """INTO OUTFILE and LOAD DATA: separators, line feeds, '', NULL, the text of \\N and backslashes come back as they were."""
+    rows = [(1, "a|b", "x"), (2, "two\nlines", ""), (3, "", "y"), (4, None, "z"), (5, "\\N", "\\"), (6, "tab\t\r", 'q"uote'), (7, "|", "||")]
+    path = f"{scratch(spark)}/escapes"
+    into_outfile(spark.createDataFrame(rows, "k int, a string, b string"), path, sep="|")
+    return load_data(spark, path, "k int, a string, b string", sep="|")
+
+
 @op("load_data_infile", "SELECT n_nationkey AS k, n_name AS name, CASE WHEN n_regionkey <> 2 THEN n_regionkey END AS r, upper(n_name) AS up FROM nation")
 def load(spark, sf_dir):
     """INTO OUTFILE, then LOAD DATA INFILE with a SET column; NULLs go through as \\N."""

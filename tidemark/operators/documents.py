@@ -174,3 +174,36 @@ def formats(spark, sf_dir):
     p = F.lit("POINT(1 2)")
     return spark.range(1).select(
         G.as_geojson(p).alias("gj"), G.geom_from_geojson(G.as_geojson(p)).alias("back"), G.geom_from_wkb(G.as_wkb(p)).alias("wkb"), G.st_geohash(F.lit("POINT(1 1)"), 10).alias("gh"), G.derive("convexhull", F.lit("MULTIPOINT((0 0),(4 0),(4 4),(0 4),(2 2))")).alias("hull"), G.overlay("intersection", F.lit("POLYGON((0 0,4 0,4 4,0 4,0 0))"), F.lit("POLYGON((2 2,6 2,6 6,2 6,2 2))")).alias("cut"), G.overlay("union", F.lit("POINT(0 0)"), F.lit("POINT(1 1)")).alias("uni"), G.make_envelope(F.lit("POINT(0 0)"), F.lit("POINT(3 2)")).alias("env"), G.construct("GEOMETRYCOLLECTION", p, F.lit("POINT(3 4)")).alias("col"), G.construct("LINESTRING", p, F.lit("POINT(3 4)")).alias("line"))
+
+
+# -- more of 2.5, 2.14, 2.15 ----------------------------------------------------------------------------------------
+@op("json_array_arrows", """SELECT n_nationkey AS k, '[' || n_nationkey || ', "' || n_name || '", null]' AS a, '"' || n_name || '"' AS arrow, n_name AS arrow_text FROM nation""")
+def array_arrows(spark, sf_dir):
+    """JSON_ARRAY, and the operators -> and ->> as extraction and its unquoted text."""
+    doc = J.json_object("k", c("n_nationkey"), "name", c("n_name"))
+    found = J.json_extract(doc, "$.name")
+    return table(spark, sf_dir, "nation").select(c("n_nationkey").alias("k"), J.json_array(c("n_nationkey"), c("n_name"), F.lit(None).cast("string")).alias("a"), found.alias("arrow"), J.json_unquote(found).alias("arrow_text"))
+
+
+@op("agg_json_array_ordered", "SELECT n_regionkey AS r, '[' || string_agg('\"' || n_name || '\"', ',' ORDER BY n_nationkey DESC) || ']' AS names FROM nation GROUP BY n_regionkey")
+def json_array_ordered(spark, sf_dir):
+    """JSON_ARRAYAGG over rows in a stated order that isn't that of the values."""
+    return table(spark, sf_dir, "nation").groupBy(c("n_regionkey").alias("r")).agg(J.json_arrayagg(c("n_name"), -c("n_nationkey")).alias("names"))
+
+
+_BOXES = [("POLYGON((0 0,4 0,4 4,0 4,0 0))", "POLYGON((1 1,2 1,2 2,1 2,1 1))"), ("POLYGON((0 0,4 0,4 4,0 4,0 0))", "POLYGON((4 0,8 0,8 4,4 4,4 0))"), ("POLYGON((0 0,4 0,4 4,0 4,0 0))", "POLYGON((2 2,6 2,6 6,2 6,2 2))"), ("POLYGON((0 0,4 0,4 4,0 4,0 0))", "POLYGON((4 4,0 4,0 0,4 0,4 4))")]
+
+
+@op("spatial_mbr_more", "SELECT * FROM (VALUES (1, true, true, false, false, false), (2, false, false, true, false, false), (3, false, false, false, true, false), (4, true, true, false, false, true)) t(k, contains, covers, touches, overlap, equal)")
+def mbr_more(spark, sf_dir):
+    """MBRCONTAINS, MBRCOVERS, MBRTOUCHES, MBROVERLAPS, ST_EQUALS."""
+    a, b = c("a"), c("b")
+    pairs = spark.createDataFrame([(k, *p) for k, p in enumerate(_BOXES, 1)], "k int, a string, b string")
+    return pairs.select("k", *(G.mbr_relation(name, a, b).alias(name.rstrip("s") if name == "overlaps" else name) for name in ("contains", "covers", "touches", "overlaps")), G.relation("equals", a, b).alias("equal"))
+
+
+@op("spatial_point_precision", "SELECT * FROM (VALUES (1.5e-11::DOUBLE, 2.123456789012::DOUBLE), (1e20, -0.1), (3.0, -7.0)) t(x, y)")
+def point_precision(spark, sf_dir):
+    """Coordinates go through POINT, ST_X and ST_Y unrounded."""
+    g = G.point(c("x"), c("y"))
+    return spark.createDataFrame([(1.5e-11, 2.123456789012), (1e20, -0.1), (3.0, -7.0)], "x double, y double").select(G.coordinate(g, 0).alias("x"), G.coordinate(g, 1).alias("y"))

@@ -9,7 +9,7 @@ from tidemark.functions import conditional as C
 from tidemark.functions import maths as M
 from tidemark.functions import strings as S
 from tidemark.functions import temporal as T
-from tidemark.plans.rewrites import compare_all, compare_any, recursive_distinct
+from tidemark.plans.rewrites import compare_all, compare_any, equal_any, recursive_distinct
 from tidemark.registry import op
 from tidemark.session import table
 
@@ -132,9 +132,10 @@ def conversion(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(k.alias("k"), F.conv((k * 1000).cast("string"), 10, 16).alias("hx"), F.bin(k).alias("b"), S.octal(k).alias("o"), F.bit_count(k).alias("bc"))
 
 
-@op("fn_crc32")
+@op("fn_crc32", "SELECT * FROM (VALUES ('', 0::BIGINT), ('123456789', 3421780262), ('The quick brown fox jumps over the lazy dog', 1095738169), ('a', 3904355907), (NULL, NULL)) t(s, crc)")
 def crc32(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.crc32(c("n_name").cast("binary")).alias("crc"))
+    """The standard check value (of 123456789) and others that the algorithm's descriptions give."""
+    return rows(spark, "(''), ('123456789'), ('The quick brown fox jumps over the lazy dog'), ('a'), (NULL)", "s").select("s", F.crc32(c("s").cast("binary")).alias("crc"))
 
 
 @op("fn_rand_range", "SELECT count(*) AS n, true AS inside FROM orders")
@@ -211,10 +212,11 @@ def date_add_units(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(c("o_orderkey").alias("k"), *(T.date_add(d, n, u).alias(name) for name, (n, u) in _IV.items()), T.date_sub(d, 1, "DAY").alias("s1"))
 
 
-@op("fn_timestampdiff", "SELECT o_orderkey AS k, date_sub('day', o_orderdate, TIMESTAMP '1998-06-15') AS dd, date_sub('hour', o_orderdate, TIMESTAMP '1998-06-15') AS hh, (date_sub('day', o_orderdate, TIMESTAMP '1998-06-15') // 7)::BIGINT AS ww, date_sub('second', o_orderdate, TIMESTAMP '1998-06-15') AS ss FROM orders WHERE o_orderdate < TIMESTAMP '1998-06-15'")
+@op("fn_timestampdiff", "SELECT o_orderkey AS k, trunc(u / 86400000000)::BIGINT AS dd, trunc(u / 3600000000)::BIGINT AS hh, trunc(u / 604800000000)::BIGINT AS ww, trunc(u / 1000000)::BIGINT AS ss FROM (SELECT o_orderkey, (epoch_us(TIMESTAMP '1998-06-15') - epoch_us(o_orderdate))::DOUBLE AS u FROM orders) t")
 def timestampdiff(spark, sf_dir):
+    """Whole units from each order to a day that some of them follow: negative ones go toward zero."""
     d, end = c("o_orderdate"), F.lit("1998-06-15").cast("timestamp_ntz")
-    return table(spark, sf_dir, "orders").filter("o_orderdate < TIMESTAMP_NTZ'1998-06-15'").select(c("o_orderkey").alias("k"), T.timestamp_diff("DAY", d, end).alias("dd"), T.timestamp_diff("HOUR", d, end).alias("hh"), T.timestamp_diff("WEEK", d, end).alias("ww"), T.timestamp_diff("SECOND", d, end).alias("ss"))
+    return table(spark, sf_dir, "orders").select(c("o_orderkey").alias("k"), T.timestamp_diff("DAY", d, end).alias("dd"), T.timestamp_diff("HOUR", d, end).alias("hh"), T.timestamp_diff("WEEK", d, end).alias("ww"), T.timestamp_diff("SECOND", d, end).alias("ss"))
 
 
 @op("fn_extract_units", "SELECT event_id, year(ts)::BIGINT AS y, (year(ts) * 100 + month(ts))::BIGINT AS ym, (day(ts) * 100 + hour(ts))::BIGINT AS dh, (hour(ts) * 10000 + minute(ts) * 100 + second(ts))::BIGINT AS hs, ((day(ts) * 1000000 + hour(ts) * 10000 + minute(ts) * 100 + second(ts)) * 1000000::BIGINT + microsecond(ts) % 1000000)::BIGINT AS dus FROM events")
@@ -335,3 +337,59 @@ BEGIN
   END WHILE;
   SELECT n, s, odd;
 END""")
+
+
+# -- more of 2.3, 2.7, 2.10, 2.12, 2.13 -----------------------------------------------------------------------------
+@op("subquery_equal_any", "SELECT p_partkey, p_size = ANY (SELECT n_nationkey FROM nation) AS eq_any, p_size <> ALL (SELECT CASE WHEN n_nationkey < 20 THEN n_nationkey END FROM nation) AS ne_all, p_size <> ANY (SELECT n_regionkey FROM nation) AS ne_any, p_size = ALL (SELECT 7) AS eq_all FROM part")
+def equal_any_(spark, sf_dir):
+    """= ANY is IN and <> ALL its NOT, with NULLs making them unknown; <> ANY and = ALL look at the least and greatest value."""
+    nation = table(spark, sf_dir, "nation")
+    part = equal_any(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", nation, "n_nationkey", "eq_any")
+    part = equal_any(part, "p_size", nation.select(F.when(c("n_nationkey") < 20, c("n_nationkey")).alias("v")), "v", "in_some").withColumn("ne_all", ~c("in_some"))
+    one, ne_any = compare_any(c("p_size"), "<>", nation, "n_regionkey")
+    part = part.crossJoin(F.broadcast(one)).withColumn("ne_any", ne_any).drop(*one.columns)
+    two, eq_all = compare_all(c("p_size"), "=", spark.range(1).select(F.lit(7).alias("v")), "v")
+    return part.crossJoin(F.broadcast(two)).withColumn("eq_all", eq_all).select("p_partkey", "eq_any", "ne_all", "ne_any", "eq_all")
+
+
+@op("sort_collate_ci", "SELECT s, row_number() OVER (ORDER BY lower(s), k) AS place FROM (VALUES ('b', 1), ('A', 2), ('a', 3), ('B', 4), ('C', 5)) t(s, k)")
+def sort_collate(spark, sf_dir):
+    """ORDER BY ... COLLATE of a case-insensitive collation, ties by the second column."""
+    return spark.sql("SELECT s, row_number() OVER (ORDER BY s COLLATE UTF8_LCASE, k) AS place FROM (VALUES ('b', 1), ('A', 2), ('a', 3), ('B', 4), ('C', 5)) AS t(s, k)").select(c("s").cast("string").alias("s"), "place")
+
+
+@op("predicate_ci_equal", "SELECT n.n_name, r.r_name, lower(n.n_name) IN ('france', 'germany') AS picked FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE lower(r.r_name) = 'europe'")
+def ci_equal(spark, sf_dir):
+    """= and IN under a case-insensitive collation."""
+    joined = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), c("n_regionkey") == c("r_regionkey"))
+    return joined.filter("r_name COLLATE UTF8_LCASE = 'eUrOpE'").select("n_name", "r_name", F.expr("n_name COLLATE UTF8_LCASE IN ('france', 'Germany')").alias("picked"))
+
+
+_STAMPS = "(TIMESTAMP_NTZ'2024-02-28 23:30:00', '01:00:00.5'), (TIMESTAMP_NTZ'2023-12-31 00:00:00', '-24:00:00'), (TIMESTAMP_NTZ'2024-01-01 10:00:00', NULL)"
+
+
+@op("fn_add_sub_time", "SELECT ts, t, ts + us AS added, ts - us AS taken, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') AS diff FROM (VALUES (TIMESTAMP '2024-02-28 23:30:00', '01:00:00.5', to_microseconds(3600500000)), (TIMESTAMP '2023-12-31 00:00:00', '-24:00:00', to_microseconds(-86400000000)), (TIMESTAMP '2024-01-01 10:00:00', NULL, NULL)) v(ts, t, us)")
+def add_sub_time(spark, sf_dir):
+    """ADDTIME (also TIMESTAMP with two arguments), SUBTIME, TIMEDIFF in microseconds."""
+    t = T.parse_time(c("t"))
+    return rows(spark, _STAMPS, "ts, t").select("ts", "t", T.add_time(c("ts"), t).alias("added"), T.sub_time(c("ts"), t).alias("taken"), T.time_diff(c("ts"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("diff"))
+
+
+@op("fn_date_add_column", "SELECT o_orderkey AS k, o_orderdate + to_days(CAST(o_orderkey % 50 AS INT) - 20) AS d, o_orderdate + to_months(CAST(o_orderkey % 30 AS INT) - 10) AS m, o_orderdate - to_hours(CAST(o_orderkey % 100 AS INT)) AS h FROM orders")
+def date_add_column(spark, sf_dir):
+    """DATE_ADD and DATE_SUB with the amount in a column."""
+    k, d = c("o_orderkey"), c("o_orderdate")
+    return table(spark, sf_dir, "orders").select(k.alias("k"), T.date_add_column(d, k % 50 - 20, "DAY").alias("d"), T.date_add_column(d, k % 30 - 10, "MONTH").alias("m"), T.date_add_column(d, -(k % 100), "HOUR").alias("h"))
+
+
+@op("fn_unhex_address_kinds", "SELECT * FROM (VALUES ('::ffff:1.2.3.4', true, false, '00000000000000000000FFFF01020304'), ('::1.2.3.4', false, true, '00000000000000000000000001020304'), ('2001:db8::1', false, false, '20010DB8000000000000000000000001'), ('no', false, false, NULL)) t(s, mapped, compat, h)")
+def unhex_address_kinds(spark, sf_dir):
+    """IS_IPV4_MAPPED, IS_IPV4_COMPAT, and UNHEX of what HEX gives."""
+    b = C.inet6_aton(c("s"))
+    return rows(spark, "('::ffff:1.2.3.4'), ('::1.2.3.4'), ('2001:db8::1'), ('no')", "s").select("s", C.is_ipv4_mapped(b).alias("mapped"), C.is_ipv4_compat(b).alias("compat"), F.hex(F.unhex(F.hex(b))).alias("h"))
+
+
+@op("fn_random_bytes", "SELECT * FROM (VALUES (1, 1, true), (16, 16, true), (200, 200, true), (1024, 1024, true)) t(n, size, differs)")
+def random_bytes(spark, sf_dir):
+    """RANDOM_BYTES(1 to 1024): the length asked for, and no two alike (but for the shortest)."""
+    return rows(spark, "(1), (16), (200), (1024)", "n").select("n", F.octet_length(C.random_bytes(c("n"))).alias("size"), ((c("n") < 8) | (C.random_bytes(c("n")) != C.random_bytes(c("n")))).alias("differs"))

@@ -10,21 +10,39 @@ from pyspark.sql import functions as F
 
 
 def compare_any(left: Column, op: str, bounds: DataFrame, column: str) -> tuple[DataFrame, Column]:
-    """`left op ANY (SELECT column ...)` as a one-row table to cross-join and a condition; NULLs make it unknown."""
+    """`left op ANY (SELECT column ...)` as a one-row table to cross-join and a condition; NULLs make it unknown.
+
+    `=` is a semi join's business: see equal_any. `<> ANY` holds unless all values are the one compared.
+    """
     stats = bounds.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.count("*").alias("_n"), F.count(column).alias("_k"))
-    edge = {">": "_lo", ">=": "_lo", "<": "_hi", "<=": "_hi"}[op]
-    hit = _apply(left, op, F.col(edge))
+    if op == "<>":
+        hit = (left != F.col("_lo")) | (left != F.col("_hi"))
+    else:
+        hit = _apply(left, op, F.col({">": "_lo", ">=": "_lo", "<": "_hi", "<=": "_hi"}[op]))
     return stats, F.when(F.col("_n") == 0, F.lit(False)).when(hit, F.lit(True)).when((F.col("_n") > F.col("_k")) | left.isNull(), F.lit(None)).otherwise(F.lit(False))
 
 
 def compare_all(left: Column, op: str, bounds: DataFrame, column: str) -> tuple[DataFrame, Column]:
     """`left op ALL (SELECT column ...)`: true over no rows."""
     stats = bounds.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.count("*").alias("_n"), F.count(column).alias("_k"))
-    edge = {">": "_hi", ">=": "_hi", "<": "_lo", "<=": "_lo"}[op]
-    hit = _apply(left, op, F.col(edge))
+    if op == "=":
+        hit = (left == F.col("_lo")) & (left == F.col("_hi"))
+    else:
+        hit = _apply(left, op, F.col({">": "_hi", ">=": "_hi", "<": "_lo", "<=": "_lo"}[op]))
     return stats, F.when(F.col("_n") == 0, F.lit(True)).when(~hit, F.lit(False)).when((F.col("_n") > F.col("_k")) | left.isNull(), F.lit(None)).otherwise(F.lit(True))
 
 
+def equal_any(df: DataFrame, left: str, values: DataFrame, column: str, name: str) -> DataFrame:
+    """df with a column `name`: left = ANY (values), which is IN; its NOT is <> ALL. Three-valued as in SQL.
+
+    The distinct values are joined by equality and the counts of rows and NULLs are one row.
+    """
+    stats = values.agg(F.count("*").alias("_n"), F.count(column).alias("_k"))
+    found = values.select(F.col(column).alias("_v")).dropna().distinct().withColumn("_hit", F.lit(True))
+    verdict = F.when(F.col("_n") == 0, F.lit(False)).when(F.col("_hit"), F.lit(True)).when(F.col(left).isNull() | (F.col("_n") > F.col("_k")), F.lit(None)).otherwise(F.lit(False))
+    return df.join(found, F.col(left) == F.col("_v"), "left").crossJoin(F.broadcast(stats)).withColumn(name, verdict).drop("_v", "_hit", "_n", "_k")
+
+
 def _apply(a: Column, op: str, b: Column) -> Column:
     return {">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b}[op]
 
@@ -37,6 +55,8 @@ def recursive_distinct(anchor: DataFrame, step: Callable[[DataFrame], DataFrame]
     spark = anchor.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))  # the latter in tests only
     seen = frontier = anchor.distinct().checkpoint()
     for _ in range(limit):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 #: Options that the engine's results depend on (zone, cast rules, recursion) or that let AQE size shuffles by data.
@@ -18,18 +19,16 @@ OPTIONS = {
 
 
 def build_session(name: str = "tidemark", cpus: str | int = "*", **extra: str) -> SparkSession:
-    """A local session for tests and benchmarks; on a cluster, spark-submit supplies master and memory."""
-    builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)
-    for key, value in (
-        OPTIONS
-        | {
-            "spark.ui.enabled": "false",
-            "spark.ui.showConsoleProgress": "false",
-            "spark.sql.shuffle.partitions": "8",
-            "spark.driver.memory": os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"),
-        }
-        | extra
-    ).items():
+    """A session with the engine's options. Under spark-submit its master, memory and partitions hold; else it is a local one."""
+    builder, given = SparkSession.builder.appName(name), SparkConf()
+    local = {
+        "spark.master": f"local[{cpus}]",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.shuffle.partitions": "8",
+        "spark.driver.memory": os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"),
+    }
+    for key, value in (OPTIONS | ({} if given.contains("spark.master") else local) | extra).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

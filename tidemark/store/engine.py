@@ -233,15 +233,17 @@ class Engine:
         d = self.tables[name].definition
         new, first = self._complete(name, rows, order)
         old = self.read(name)
-        if ignore:
+        if ignore:  # of equal keys the first row stays
+            new = (new.orderBy(*order) if order else new).withColumn("_n", F.monotonically_increasing_id())
             required = [c.name for c in d.columns if not c.nullable or c.name in d.primary_key]
             new = new.dropna(subset=required) if required else new
             for key in d.keys():
-                place = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+                place = F.row_number().over(Window.partitionBy(*key).orderBy("_n"))
                 has = F.lit(True)
                 for k in key:
                     has = has & F.col(k).isNotNull()
-                new = new.withColumn("_p", place).filter(~has | (F.col("_p") == 1)).drop("_p").join(old.select(*key), list(key), "left_anti").select(*(c.name for c in d.columns))
+                new = new.withColumn("_p", place).filter(~has | (F.col("_p") == 1)).drop("_p").join(old.select(*key), list(key), "left_anti")
+            new = new.select(*(c.name for c in d.columns))
         before = old.count()
         self._replace(name, old.unionByName(new))
         self._advance(name)
@@ -251,6 +253,7 @@ class Engine:
         """REPLACE: rows that conflict on any key go, of new rows with one key the last stays."""
         d = self.tables[name].definition
         new, first = self._complete(name, rows, order)
+        new = new.orderBy(*order) if order else new
         for key in d.keys():
             new = new.withColumn("_n", F.monotonically_increasing_id()).withColumn("_p", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_n")))).filter("_p = 1").drop("_n", "_p")
         old = kept = self.read(name)
