@@ -90,3 +90,46 @@ def test_triggers_views_and_partitions(spark, tmp_path):
     assert [tuple(r) for r in e.read("p", ("p1",)).collect()] == [(20, "Y")]
     e.create_view("v", "SELECT count(*) AS n FROM {p}")
     assert e.read("v").first().n == 2
+
+
+def test_upsert_by_any_key_writes_once(spark, engine):
+    before = engine.tables["t"].version
+    offered = spark.createDataFrame([(7, 10, "b"), (1, 11, "a"), (2, 12, "b"), (8, 13, "a"), (9, 13, "b"), (8, 14, "a")], T.schema()).coalesce(1)
+    r = engine.upsert("t", offered, {"e": "new_e", "v": "coalesce(v, 50) + 1"})
+    assert (r.inserted, r.changed) == (1, 5) and engine.tables["t"].version == before + 1
+    assert rows(engine) == [(1, 12, "a"), (2, 51, "b"), (8, 15, "a")]
+
+
+def test_upsert_that_breaks_a_key_changes_nothing(spark, engine):
+    before = rows(engine)
+    with pytest.raises(ConstraintError):
+        engine.upsert("t", spark.createDataFrame([(2, 5, "a")], T.schema()), {"v": F.lit(10)})
+    assert rows(engine) == before
+
+
+def test_a_failing_trigger_undoes_its_statement(spark, engine):
+    engine.create("log", TableDef((Column("id", "int"),), ("id",)), spark.createDataFrame([(5,)], "id int"))
+    engine.trigger("t", "after insert", lambda new: engine.insert("log", new.select("id")))
+    engine.insert("t", spark.createDataFrame([(4, 1, "a")], T.schema()))
+    assert rows(engine, "log") == [(4,), (5,)]
+    with pytest.raises(ConstraintError):
+        engine.insert("t", spark.createDataFrame([(5, 2, "a")], T.schema()))
+    assert len(rows(engine)) == 3 and rows(engine, "log") == [(4,), (5,)]
+
+
+def test_before_update_trigger_sees_old_values(engine):
+    engine.trigger("t", "before update", lambda hit: hit.withColumn("v", F.col("old_v") + F.col("v")))
+    assert engine.update("t", {"v": F.lit(1)}, "id = 1").changed == 1
+    assert rows(engine) == [(1, 11, "a"), (2, None, None)]
+
+
+@pytest.mark.parametrize("action, left", [("cascade", [(4, None)]), ("set null", [(2, None), (3, 2), (4, None)]), ("restrict", None)])
+def test_foreign_keys_of_a_table_to_itself(spark, engine, action, left):
+    engine.create("s", TableDef((Column("k", "int"), Column("up", "int")), ("k",), foreign_keys=(ForeignKey(("up",), "s", ("k",), action),)), spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None)], "k int, up int"))
+    if left is None:
+        with pytest.raises(ConstraintError):
+            engine.delete("s", "k = 1")
+        assert len(rows(engine, "s")) == 4
+    else:
+        engine.delete("s", "k = 1")
+        assert rows(engine, "s") == left

@@ -17,8 +17,11 @@ REGION = TableDef((Column("r_regionkey", "int", False), Column("r_name", "string
 
 
 def scratch(spark) -> str:
-    """A folder below the shared one that the cluster names, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidemark-store"
+    """A folder below the shared one that the cluster names; on a local master, a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or f"file://{tempfile.gettempdir()}/tidemark-store"  # in tests only
     return f"{base}/store-{__import__('uuid').uuid4().hex}"
 
 
@@ -59,6 +62,41 @@ def upsert(spark, sf_dir):
     return e.read("nation")
 
 
+@op("dml_upsert_second_unique", "SELECT n_nationkey, CASE WHEN n_nationkey = 5 THEN 'NATION_5?!' WHEN n_nationkey = 6 THEN 'NATION_6*' ELSE n_name END AS n_name, CASE WHEN n_nationkey = 5 THEN 4 WHEN n_nationkey = 6 THEN 6 ELSE n_regionkey END AS n_regionkey FROM nation UNION ALL VALUES (960, 'NOWHERE', 1)")
+def upsert_second_unique(spark, sf_dir):
+    """Rows that meet others by the second key, by the first one, by a row that the statement inserts, and in turn."""
+    e = Engine(spark, scratch(spark))
+    e.create("nation", TableDef(NATION.columns, NATION.primary_key, (("n_name",),)), table(spark, sf_dir, "nation"))
+    e.upsert("nation", spark.createDataFrame([(961, "NATION_5", 3), (5, "?", 1), (6, "*", 5)], NATION.schema()).coalesce(1), {"n_name": "CASE WHEN new_n_name = n_name THEN concat(n_name, '?') WHEN new_n_name = '?' THEN concat(n_name, '!') ELSE concat(n_name, new_n_name) END", "n_regionkey": "n_regionkey + CASE WHEN new_n_nationkey = 961 THEN 3 ELSE new_n_regionkey END"})
+    e.upsert("nation", spark.createDataFrame([(960, "NOWHERE", 0), (962, "NOWHERE", 0)], NATION.schema()).coalesce(1), {"n_regionkey": "new_n_regionkey + 1"})
+    return e.read("nation")
+
+
+@op("dml_trigger_after_update", "SELECT n_nationkey AS k, n_regionkey AS was, n_regionkey + 5 AS now, 'update' AS what FROM nation WHERE n_regionkey = 2 UNION ALL SELECT n_nationkey, n_regionkey, NULL, 'delete' FROM nation WHERE n_regionkey = 3 UNION ALL VALUES (970, NULL, 1, 'insert')")
+def trigger_after_update(spark, sf_dir):
+    """A log of what was inserted, updated and deleted, written by triggers."""
+    e = nations(spark, sf_dir)
+    e.create("log", TableDef((Column("k", "int"), Column("was", "int"), Column("now", "int"), Column("what", "string"))))
+    none = F.lit(None).cast("int")
+    e.trigger("nation", "after insert", lambda rows: e.insert("log", rows.select(c("n_nationkey").alias("k"), none.alias("was"), c("n_regionkey").alias("now"), F.lit("insert").alias("what"))))
+    e.trigger("nation", "after update", lambda rows: e.insert("log", rows.select(c("n_nationkey").alias("k"), c("old_n_regionkey").alias("was"), c("n_regionkey").alias("now"), F.lit("update").alias("what"))))
+    e.trigger("nation", "after delete", lambda rows: e.insert("log", rows.select(c("n_nationkey").alias("k"), c("n_regionkey").alias("was"), none.alias("now"), F.lit("delete").alias("what"))))
+    e.insert("nation", spark.createDataFrame([(970, "NEW", 1)], NATION.schema()))
+    e.update("nation", {"n_regionkey": "n_regionkey + 5"}, "n_regionkey = 2")
+    e.delete("nation", "n_regionkey = 3")
+    return e.read("log")
+
+
+@op("dml_delete_self_reference", "WITH RECURSIVE gone(k) AS (SELECT n_nationkey FROM nation WHERE n_nationkey IN (4, 5) UNION SELECT n_nationkey FROM nation JOIN gone ON n_nationkey // 2 = gone.k AND n_nationkey > 1) SELECT n_nationkey AS k, CASE WHEN n_nationkey > 1 THEN (n_nationkey // 2)::INT END AS boss FROM nation WHERE n_nationkey > 0 AND n_nationkey NOT IN (SELECT k FROM gone)")
+def delete_self_reference(spark, sf_dir):
+    """A foreign key of a table to itself: all below the rows that go, go too."""
+    e = Engine(spark, scratch(spark))
+    k = c("n_nationkey")
+    e.create("staff", TableDef((Column("k", "int", False), Column("boss", "int")), ("k",), foreign_keys=(ForeignKey(("boss",), "staff", ("k",), "cascade"),)), table(spark, sf_dir, "nation").filter("n_nationkey > 0").select(k.alias("k"), F.when(k > 1, F.floor(k / 2)).cast("int").alias("boss")))
+    e.delete("staff", "k IN (4, 5)")
+    return e.read("staff")
+
+
 @op("dml_replace", "SELECT n_nationkey, CASE WHEN n_nationkey = 2 THEN 'LAST' ELSE n_name END AS n_name, CASE WHEN n_nationkey = 2 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation UNION ALL VALUES (951, 'Y', 2)")
 def replace(spark, sf_dir):
     e = nations(spark, sf_dir)

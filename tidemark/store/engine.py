@@ -7,8 +7,11 @@ Files are written by Spark, so the root may be in any store that Spark writes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column as Col
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+#: When triggers fire.
+WHEN = ("before insert", "before update", "after insert", "after update", "after delete")
+
+
 class ConstraintError(ValueError):
     """A change that would break a constraint; the table stays as it was."""
 
@@ -159,6 +166,12 @@ class Engine:
         return self.spark.sql(text, args=parameters or None, **{n: self.read(n) for n in used})
 
     # -- writing --------------------------------------------------------------------------------------------------
+    def _stage(self, df: DataFrame) -> DataFrame:
+        """df as a table of its own below the root, so that rows that several steps read are made once."""
+        place = f"{self.root}/_staged/{uuid.uuid4().hex}"
+        df.write.parquet(place)
+        return self.spark.read.schema(df.schema).parquet(place)
+
     def _commit(self, name: str, df: DataFrame) -> None:
         t = self.tables[name]
         place = self._path_name(name)
@@ -208,7 +221,7 @@ class Engine:
             if c.auto_increment:
                 own = F.col(c.name).cast("long") if c.name in rows.columns else F.lit(None).cast("long")
                 first = t.next_id
-                rows = numbered(rows.orderBy(*order) if order else rows, "_number").withColumn(c.name, F.coalesce(own, F.col("_number") + F.lit(first))).drop("_number")
+                rows = numbered(rows.orderBy(*order) if order else rows, "_number", self._stage).withColumn(c.name, F.coalesce(own, F.col("_number") + F.lit(first))).drop("_number")
             elif c.name not in rows.columns:
                 value = c.default if isinstance(c.default, Col) else F.lit(c.default)
                 rows = rows.withColumn(c.name, value.cast(c.type))
@@ -244,10 +257,12 @@ class Engine:
                     has = has & F.col(k).isNotNull()
                 new = new.withColumn("_p", place).filter(~has | (F.col("_p") == 1)).drop("_p").join(old.select(*key), list(key), "left_anti")
             new = new.select(*(c.name for c in d.columns))
-        before = old.count()
-        self._replace(name, old.unionByName(new))
-        self._advance(name)
-        return Result(inserted=self.read(name).count() - before, insert_id=first)
+        new = self._stage(new)  # made once, counted and written from there
+        with self._whole():
+            self._replace(name, old.unionByName(new))
+            self._advance(name)
+            self._after(name, "insert", new)
+        return Result(inserted=new.count(), insert_id=first)
 
     def replace(self, name: str, rows: DataFrame, order: list[Col] | None = None) -> Result:
         """REPLACE: rows that conflict on any key go, of new rows with one key the last stays."""
@@ -267,26 +282,51 @@ class Engine:
     def upsert(self, name: str, rows: DataFrame, updates: dict[str, Col | str], order: list[Col] | None = None) -> Result:
         """INSERT ... ON DUPLICATE KEY UPDATE: in an update, a column is the old value and new_<column> the offered one.
 
-        The key is the primary key, or the first unique one. Of offered rows with one key the first is inserted and
-        the others update it in their order.
+        A row that meets one by any key (of several, the first in the order of keys) updates it, else it is inserted;
+        rows count in the order given, so of offered rows with one key the first may be inserted and the others update
+        it. Updates go left to right. Only the rows that some offer meets are worked on: in each turn those offers
+        whose key and target no earlier one shares, so turns are as many as the most offers of one key; the table is
+        written once. An update that alters a key is seen from the next turn on.
         """
         d = self.tables[name].definition
-        key = d.keys()[0]
-        new, first = self._complete(name, rows, order)
-        new = new.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.monotonically_increasing_id())))
-        current, changed, inserted = self.read(name), 0, 0
-        for turn in range(1, (new.agg(F.max("_n")).first()[0] or 0) + 1):
-            offered = new.filter(F.col("_n") == turn).drop("_n").withColumn("_new", F.lit(True)).toDF(*(c.name if c.name in key else f"new_{c.name}" for c in d.columns), "_new")
-            both = current.withColumn("_old", F.lit(True)).join(offered, list(key), "full")
-            values = {c: F.expr(u) if isinstance(u, str) else u for c, u in updates.items()}
-            out = both.select(*(
-                F.when(F.col("_old").isNull(), F.col(c.name if c.name in key else f"new_{c.name}")).when(F.col("_new") & F.lit(c.name in values), values.get(c.name, F.col(c.name))).otherwise(F.col(c.name)).cast(c.type).alias(c.name)
-                for c in d.columns
-            ))
-            counts = both.agg(F.count_if(F.col("_old") & F.col("_new")), F.count_if(F.col("_old").isNull())).first()
+        keys, names = d.keys(), [c.name for c in d.columns]
+        if not keys:
+            return self.insert(name, rows, order=order)
+        new, first = self._complete(name, rows.orderBy(*order) if order else rows, order)
+        pending = self._stage(new.withColumn("_n", F.monotonically_increasing_id()))
+        old = self.read(name).select(*names, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_id"))
+        met = [old.join(pending.select(*key).dropna().distinct(), list(key), "left_semi").select(*names, "_id") for key in keys]
+        work = self._stage(reduce(DataFrame.unionByName, met).dropDuplicates(["_id"]))
+        changed = inserted = 0
+        while True:
+            p, free, target = pending, F.lit(True), F.lit(None).cast(work.schema["_id"].dataType)
+            for i, key in enumerate(keys):
+                p = p.join(pending.dropna(subset=list(key)).groupBy(*key).agg(F.min("_n").alias(f"_first{i}")), list(key), "left")
+                p = p.join(work.select(*key, F.col("_id").alias(f"_met{i}")), list(key), "left")
+                free, target = free & F.coalesce(F.col(f"_first{i}") == F.col("_n"), F.lit(True)), F.coalesce(target, F.col(f"_met{i}"))
+            p = p.select(*names, "_n", free.alias("_free"), target.alias("_id"))
+            least = p.dropna(subset=["_id"]).groupBy("_id").agg(F.min("_n").alias("_least"))
+            p = self._stage(p.join(least, "_id", "left").withColumn("_free", F.col("_free") & F.coalesce(F.col("_least") == F.col("_n"), F.lit(True))).drop("_least"))
+            counts = p.agg(F.count_if(F.col("_free") & F.col("_id").isNotNull()), F.count_if(F.col("_free") & F.col("_id").isNull()), F.count_if(~F.col("_free"))).first()
+            if not counts[0] + counts[1]:
+                break
             changed, inserted = changed + counts[0], inserted + counts[1]
-            self._replace(name, out)
-            current = self.read(name)
+            own = F.struct(F.lit("").alias("file"), F.col("_n").alias("row"))
+            offered = p.filter("_free").select(F.coalesce("_id", own).alias("_id"), F.col("_id").isNull().alias("_insert"), *(F.col(c).alias(f"new_{c}") for c in names))
+            both = work.join(offered, "_id", "full")
+            both = both.select("_id", F.coalesce("_insert", F.lit(False)).alias("_insert"), F.col("_insert").isNotNull().alias("_hit"), *names, *(f"new_{c}" for c in names))
+            for c in names:
+                both = both.withColumn(c, F.when(F.col("_insert"), F.col(f"new_{c}")).otherwise(F.col(c)))
+            for c, v in updates.items():
+                both = both.withColumn(c, F.when(F.col("_hit") & ~F.col("_insert"), (F.expr(v) if isinstance(v, str) else v).cast(d.column(c).type)).otherwise(F.col(c)))
+            for c in d.columns:
+                if c.generated:
+                    both = both.withColumn(c.name, F.expr(c.generated).cast(c.type))
+            work = self._stage(both.select(*names, "_id"))
+            if not counts[2]:
+                break
+            pending = p.filter("not _free").select(*names, "_n")
+        self._replace(name, old.join(work.select("_id"), "_id", "left_anti").select(*names).unionByName(work.select(*names)))
         self._advance(name)
         return Result(inserted=inserted, changed=changed, insert_id=first)
 
@@ -318,8 +358,17 @@ class Engine:
         differs = F.lit(False)
         for c, o in old.items():
             differs = differs | ~F.col(c).eqNullSafe(F.col(o))
+        df = df.toDF(*(f"old_{c[5:]}" if c in old.values() else c for c in df.columns)) if self._fires(name, "update") else df
+        if before := self.triggers.get((name, "before update")):
+            hit_rows = reduce(lambda rows, f: f(rows), before, df.filter("_hit"))
+            df = df.filter("not _hit").unionByName(hit_rows.select(*df.columns))
+        if self._fires(name, "update"):
+            df = self._stage(df)
+            differs = reduce(lambda a, c: a | ~F.col(c).eqNullSafe(F.col(f"old_{c}")), old, F.lit(False))
         n = df.filter(F.col("_hit") & differs).count()
-        self._replace(name, df)
+        with self._whole():
+            self._replace(name, df)
+            self._after(name, "update", df.filter("_hit").select(*old, *(f"old_{c}" for c in old)) if self._fires(name, "update") else None)
         return Result(changed=n)
 
     def update_join(self, name: str, other: DataFrame, on: list[str], values: dict[str, Col | str]) -> Result:
@@ -347,10 +396,32 @@ class Engine:
         df = self.read(name)
         return self._remove(name, df.join(other, on, "left_anti").select(*df.columns), df.join(other, on, "left_semi").select(*df.columns))
 
+    def _own_references(self, name: str, kept: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Foreign keys of a table to itself: rows that refer to ones that go, go too (turn by turn) or lose the reference."""
+        own = [fk for fk in self.tables[name].definition.foreign_keys if fk.parent == name]
+        newest = gone
+        while own:
+            newest, fresh = None, newest
+            for fk in own:
+                keys = fresh.select(*(F.col(p).alias(c) for p, c in zip(fk.parent_columns, fk.columns, strict=True))).dropna().distinct()
+                if fk.on_delete == "set null":
+                    hit = kept.join(keys.withColumn("_hit", F.lit(True)), list(fk.columns), "left")
+                    for c in fk.columns:
+                        hit = hit.withColumn(c, F.when(F.col("_hit").isNull(), F.col(c)))
+                    kept = hit.select(*gone.columns)
+                elif fk.on_delete == "cascade":
+                    more = self._stage(kept.join(keys, list(fk.columns), "left_semi").select(*gone.columns))
+                    if not more.isEmpty():
+                        kept = self._stage(kept.join(keys, list(fk.columns), "left_anti").select(*gone.columns))
+                        gone, newest = gone.unionByName(more), more if newest is None else newest.unionByName(more)
+            if newest is None:
+                break
+        return kept, gone
+
     def _remove(self, name: str, kept: DataFrame, gone: DataFrame) -> Result:
+        kept, gone = self._own_references(name, kept, gone)
         n = gone.count()
-        state = {t: x.version for t, x in self.tables.items()}
-        try:
+        with self._whole():
             for child, t in list(self.tables.items()):
                 for fk in t.definition.foreign_keys:
                     if fk.parent != name or child == name:
@@ -369,10 +440,7 @@ class Engine:
                     else:
                         raise ConstraintError(f"{child} refers to rows of {name}")
             self._replace(name, kept)
-        except ConstraintError:
-            for t, v in state.items():
-                self.tables[t].version = v
-            raise
+            self._after(name, "delete", gone)
         return Result(deleted=n)
 
     def truncate(self, name: str) -> None:
@@ -413,10 +481,34 @@ class Engine:
         self._alter(name, d.columns, self.read(name), checks=(*d.checks, condition))
 
     # -- triggers, snapshots, transactions ------------------------------------------------------------------------
-    def trigger(self, name: str, when: str, change: Callable[[DataFrame], DataFrame]) -> None:
-        """A before-insert trigger as a function of the new rows."""
+    def trigger(self, name: str, when: str, change: Callable[[DataFrame], DataFrame | None]) -> None:
+        """A trigger as a function of a statement's rows, all at once.
+
+        "before insert" and "before update" return the rows that are written; an update's rows also have old_<column>.
+        "after insert", "after update" and "after delete" are for further changes to other tables, which stand or fall
+        with the statement. Updates by upsert, replace and update_join fire none, nor do rows that foreign keys alter.
+        """
+        if when.lower() not in WHEN:
+            raise ValueError(f"a trigger is one of {', '.join(WHEN)}")
         self.triggers.setdefault((name, when.lower()), []).append(change)
 
+    def _fires(self, name: str, event: str) -> bool:
+        return any(self.triggers.get((name, f"{when} {event}")) for when in ("before", "after"))
+
+    def _after(self, name: str, event: str, rows: DataFrame | None) -> None:
+        for f in self.triggers.get((name, f"after {event}"), []):
+            f(rows)
+
+    @contextmanager
+    def _whole(self) -> Iterator[None]:
+        """If any of the changes within fails, all tables stay as they were."""
+        state = self._state()
+        try:
+            yield
+        except Exception:
+            self.tables = state
+            raise
+
     def _state(self) -> dict:
         return {n: replace_table(t) for n, t in self.tables.items()}
 
@@ -460,9 +552,12 @@ class Engine:
         return self.information_schema("columns").filter(F.col("table_name") == name).orderBy("ordinal_position")
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df with a column of row numbers from 0 in its order, without gathering rows: places in partitions and their sizes."""
-    df = df.withColumn(name, F.monotonically_increasing_id())
+def numbered(df: DataFrame, name: str, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with a column of row numbers from 0 in its order, without gathering rows: places in partitions and their sizes.
+
+    The places are staged before the sizes are counted: another evaluation may deal the rows otherwise.
+    """
+    df = stage(df.withColumn(name, F.monotonically_increasing_id()))
     part = F.shiftright(name, 33)
     sizes = df.groupBy(part.alias("p")).count().orderBy("p").collect()  # a row for each partition
     offsets, at = [], 0
