@@ -48,6 +48,17 @@ def test_long_conversation(spark):
     assert [t for _, t in chat.parse(row.formatted)] == [str(k) for k in range(3000)]
 
 
+def test_long_text_repeats_and_clashing_columns(spark):
+    long = "<|im_end|>ab\n" * 200_000
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", long), (1, 2, "user", "again"), (1, 2, "user", "again")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for name in ("tree", "node", "parent", "score", "formatted"):
+        df = df.withColumn(name, F.lit("own"))
+    (row,) = chat.format_trees(chat.threads(df).withColumn("mask", F.lit(1))).collect()
+    assert chat.parse(row.formatted) == [(r, t) for _, _, r, t in rows]
+    assert [chat.unescape(row.formatted[s.start : s.end]) for s in row.mask] == [long]
+
+
 def brute(pages):
     groups = {}
     for p, html in pages:

@@ -113,7 +113,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
-    """messages: tree, node, parent, role, text, score; other columns are ignored. See reply_paths and format_paths."""
+    """messages: tree, node, parent, role, text, score; other columns are ignored. See reply_paths and format_paths.
+
+    Null roles and texts are empty, texts count whole whatever their length, an empty table gives no rows.
+    """
     ws = Workspace(messages.sparkSession, "chat")
     messages = ws.stage(messages.select("tree", "node", "parent", "role", "text", "score"), "messages")
     paths = reply_paths(messages, ws, top)
@@ -124,6 +127,7 @@ def threads(df: DataFrame) -> DataFrame:
     """Flat conversations (conv_id, turn, role, text) as trees, each row the reply to the one before it.
 
     Rows go by turn, rows of one turn by role and text; null turns come first. A null conv_id is a conversation too.
+    Repeated rows are turns each; columns other than the four are not read.
     """
     tree = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
     place = F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text"))
