@@ -486,7 +486,8 @@ class Engine:
 
         "before insert" and "before update" return the rows that are written; an update's rows also have old_<column>.
         "after insert", "after update" and "after delete" are for further changes to other tables, which stand or fall
-        with the statement. Updates by upsert, replace and update_join fire none, nor do rows that foreign keys alter.
+        with the statement. Upserts and replace fire "before insert" alone, for all offered rows; update_join fires none.
+        Rows that a cascade deletes fire "after delete"; references that are set to null fire none.
         """
         if when.lower() not in WHEN:
             raise ValueError(f"a trigger is one of {', '.join(WHEN)}")
