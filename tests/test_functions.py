@@ -72,3 +72,41 @@ def test_literals(spark):
     ]
     row = spark.range(1).select(*(column.alias(f"x{i}") for i, (column, _) in enumerate(cases))).first()
     assert list(row) == [value for _, value in cases]
+
+
+def test_json_table_raises_on_empty(spark):
+    docs = spark.createDataFrame([(1, '[{"a": 1}, {}]')], "k int, doc string")
+    kept = J.json_table(docs, "doc", "$[*]", J.PathColumn("a", "int", "$.a", on_empty=7))
+    assert [r.a for r in kept.orderBy("a").collect()] == [1, 7]
+    with pytest.raises(Exception, match="no value"):
+        J.json_table(docs, "doc", "$[*]", J.PathColumn("a", "int", "$.a", on_empty=J.RAISE)).collect()
+
+
+def test_relevance_without_words(spark):
+    docs = spark.createDataFrame([(1, "alpha beta alpha"), (2, None), (3, ""), (4, "beta alpha")], "doc_id int, text string")
+    assert [(r.doc_id, r.score) for r in X.search(docs, "doc_id", "text", "alpha").collect()] == [(1, 2.0), (4, 1.0)]
+    assert X.search(docs, "doc_id", "text", "of").collect() == []
+
+
+def test_group_concat_of_nothing(spark):
+    found = spark.createDataFrame([(1, None), (2, "b"), (2, "a")], "k int, s string").groupBy("k").agg(S.group_concat(F.col("s"), [F.col("s")]).alias("g"))
+    assert dict(found.collect()) == {1: None, 2: "a,b"}
+
+
+def test_fractional_digits(spark):
+    row = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-02 03:04:05.987654' AS ts")
+    found = row.select(*(T.to_precision(F.col("ts"), d).cast("string").alias(str(d)) for d in (0, 1, 5, 6))).head()
+    assert [v[19:] for v in found] == ["", ".9", ".98765", ".987654"]
+
+
+def test_procedure_returns_its_last_result(spark):
+    from tidemark.plans.routines import Routines
+
+    r = Routines(spark)
+    r.create("double_it", "n INT", "SELECT n * 2 AS m;")
+    assert r.call("double_it", 21).head().m == 42
+    with pytest.raises(ValueError):
+        r.call("double_it")
+    r.drop("double_it")
+    with pytest.raises(KeyError):
+        r.call("double_it", 1)

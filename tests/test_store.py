@@ -133,3 +133,16 @@ def test_foreign_keys_of_a_table_to_itself(spark, engine, action, left):
     else:
         engine.delete("s", "k = 1")
         assert rows(engine, "s") == left
+
+
+def test_show_create_checksum_and_order(spark, engine):
+    text = engine.show_create("t")
+    assert "`id` int NOT NULL" in text and "PRIMARY KEY (`id`)" in text and "UNIQUE KEY (`v`)" in text and "CHECK (v < 100)" in text
+    old = engine.checksum("t", "none").collect()
+    engine.order_by("t", F.desc("id"))
+    assert engine.checksum("t", "none").collect() == old
+    assert dict(map(tuple, old))["none"] is None
+    engine.update("t", {"v": F.lit(11)}, "id = 1")
+    assert engine.checksum("t").head().checksum != old[0].checksum
+    with pytest.raises(KeyError):
+        engine.information_schema("nothing")

@@ -211,3 +211,8 @@ def random_bytes(n: Column) -> Column:
     """n random bytes, 1 to 1024; NULL for other lengths."""
     more = F.concat(*(F.unhex(F.sha2(F.uuid(), 512)) for _ in range(16)))
     return F.when(n.between(1, 1024), F.substring(more, F.lit(1), n))
+
+
+def uuid_short() -> Column:
+    """UUID_SHORT: numbers that rise within a partition and differ in the whole statement, above the hour's own range."""
+    return F.shiftleft(F.floor(F.unix_seconds(F.current_timestamp()) / 3600), 43).bitwiseAND(F.lit(2**62 - 1)) + F.monotonically_increasing_id()

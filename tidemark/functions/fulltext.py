@@ -30,6 +30,18 @@ def natural_score(text: Column, query: str) -> Column:
     return F.size(F.filter(found, lambda w: w.isin(*wanted))).cast("double") if wanted else F.lit(0.0)
 
 
+def search(df: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
+    """Rows that hold a word of the query, with their score, most relevant first and ties by id.
+
+    Texts without any of the words as a plain part of them are left out before they are split.
+    """
+    wanted = query_tokens(query)
+    if not wanted:
+        return df.withColumn("score", F.lit(0.0)).limit(0)
+    near = F.lower(F.col(text_col)).rlike("|".join(map(re.escape, wanted)))
+    return df.filter(near).withColumn("score", natural_score(F.col(text_col), query)).filter("score > 0").orderBy(F.desc("score"), id_col)
+
+
 def bm25(df: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
     """id and score of the rows with a word of the query; statistics over the whole table.
 

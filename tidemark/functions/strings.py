@@ -165,3 +165,35 @@ def regexp_instr(s: Column, pattern: str) -> Column:
     """The 1-based place of the first match, 0 if there is none."""
     before = F.split(s, pattern, 2)
     return F.when(s.isNull(), None).when(s.rlike(pattern), F.char_length(before[0]) + 1).otherwise(F.lit(0))
+
+
+# Character sets that hold a part of Unicode, and what lies outside of them.
+OUTSIDE = {"ascii": r"[^\x00-\x7F]", "latin1": r"[^\x00-\xFF]", "utf8mb3": r"[\x{10000}-\x{10FFFF}]", "utf8": r"[\x{10000}-\x{10FFFF}]"}
+
+
+def convert_using(s: Column, charset: str) -> Column:
+    """CONVERT(s USING charset): characters that the character set lacks become ?; binary gives the bytes."""
+    if charset == "binary":
+        return s.cast("binary")
+    if charset in OUTSIDE:
+        return F.regexp_replace(s, OUTSIDE[charset], "?")
+    if charset != "utf8mb4":
+        raise ValueError(f"no character set {charset}")
+    return s
+
+
+def charset(x: Column) -> Column:
+    """CHARSET(x): utf8mb4 of texts, else binary."""
+    return F.when(F.typeof(x).startswith("string"), F.lit("utf8mb4")).otherwise(F.lit("binary"))
+
+
+def collation(x: Column) -> Column:
+    """COLLATION(x), by the nearest name of the dialect."""
+    kind = F.typeof(x)
+    return F.when(kind.contains("LCASE"), F.lit("utf8mb4_general_ci")).when(kind.startswith("string"), F.lit("utf8mb4_bin")).otherwise(F.lit("binary"))
+
+
+def group_concat(x: Column, order: list[Column], separator: str = ",", longest: int = 1024) -> Column:
+    """GROUP_CONCAT, cut at the length that group_concat_max_len names; NULLs are skipped."""
+    held = F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order)), x.cast("string").alias("x")))))
+    return F.when(F.size(held) > 0, F.left(F.array_join(F.transform(held, lambda s: s.x), separator), F.lit(longest)))

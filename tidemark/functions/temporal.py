@@ -182,7 +182,7 @@ def time_format(t: Column, pattern: str) -> Column:
 
 def str_to_date(s: Column, pattern: str) -> Column:
     """STR_TO_DATE as a timestamp; NULL where it doesn't fit."""
-    java = "".join(f"'{text}'" if text.isalpha() else text or PATTERNS.get(spec, spec) for spec, text in re.findall(r"%(.)|([^%]+)", pattern))
+    java = "".join("'" + text.replace("'", "''") + "'" if any(map(str.isalpha, text)) else text or PATTERNS.get(spec, spec) for spec, text in re.findall(r"%(.)|([^%]+)", pattern))
     return F.try_to_timestamp(s, F.lit(java)).cast("timestamp_ntz")
 
 
@@ -258,3 +258,24 @@ def timestamp_diff(unit: str, a: Column, b: Column) -> Column:
     else:
         q = time_diff(b, a) / _MICROS[unit]
     return F.when(q < 0, F.ceil(q)).otherwise(F.floor(q)).cast("long")
+
+
+def to_precision(ts: Column, digits: int) -> Column:
+    """NOW(fsp) and TIMESTAMP(fsp): as many digits of the second as asked for, 0 to 6, the rest cut."""
+    if not 0 <= digits <= 6:
+        raise ValueError("0 to 6 digits of the second")
+    step = 10 ** (6 - digits)
+    return ts - F.make_dt_interval(secs=(microsecond(ts) % step / F.lit(10**6)).cast("decimal(18,6)"))
+
+
+def utc_time() -> Column:
+    """UTC_TIME in microseconds of the day, seconds whole."""
+    return F.pmod(F.unix_seconds(F.current_timestamp()), F.lit(86400)) * SECOND
+
+
+def from_unixtime(n: Column, pattern: str | None = None) -> Column:
+    """FROM_UNIXTIME in UTC, as text where a format is given; NULL below 0 and past the year 3001."""
+    days, within = F.floor(n / 86400), F.pmod(n, F.lit(86400)).cast("decimal(18,6)")
+    ts = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=days.cast("int"), secs=within)
+    inside = F.when(n.between(0, 32536771199), ts)
+    return inside if pattern is None else date_format(inside, pattern)

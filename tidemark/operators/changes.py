@@ -190,6 +190,39 @@ def catalog(spark, sf_dir):
     return nations(spark, sf_dir).describe("nation")
 
 
+def family(spark, sf_dir) -> Engine:
+    e = Engine(spark, scratch(spark))
+    e.create("region", TableDef(REGION.columns, REGION.primary_key, (("r_name",),)), table(spark, sf_dir, "region"))
+    e.create("nation", TableDef(NATION.columns, NATION.primary_key, checks=("n_nationkey >= 0",), foreign_keys=(ForeignKey(("n_regionkey",), "region", ("r_regionkey",), "cascade"),)), table(spark, sf_dir, "nation"))
+    return e
+
+
+@op("catalog_constraints", "SELECT * FROM (VALUES ('region', 'PRIMARY', 'PRIMARY KEY', 'r_regionkey', NULL, NULL), ('region', 'unique_1', 'UNIQUE', 'r_name', NULL, NULL), ('nation', 'PRIMARY', 'PRIMARY KEY', 'n_nationkey', NULL, NULL), ('nation', 'fk_1', 'FOREIGN KEY', 'n_regionkey', 'region', 'CASCADE'), ('nation', 'check_1', 'CHECK', NULL, NULL, NULL)) t(table_name, constraint_name, constraint_type, column_name, parent, delete_rule)")
+def catalog_constraints(spark, sf_dir):
+    """INFORMATION_SCHEMA: constraints with their columns and rules."""
+    e = family(spark, sf_dir)
+    name = ["table_name", "constraint_name"]
+    columns = e.information_schema("key_column_usage").select(*name, "column_name", c("referenced_table_name").alias("parent"))
+    rules = e.information_schema("referential_constraints").select(*name, "delete_rule")
+    return e.information_schema("table_constraints").join(columns, name, "left").join(rules, name, "left")
+
+
+@op("show_tables_index", "SELECT * FROM (VALUES ('region', 'PRIMARY', 1, 'r_regionkey'), ('region', 'unique_1', 1, 'r_name')) t(table_name, key_name, seq_in_index, column_name)")
+def show_tables_index(spark, sf_dir):
+    """SHOW TABLES LIKE and SHOW INDEX."""
+    e = family(spark, sf_dir)
+    return e.show_tables("REG%").select("table_name").join(e.show_index("region"), "table_name")
+
+
+@op("ddl_order_by_checksum", "SELECT 'nation' AS table_name, true AS same UNION ALL SELECT 'missing', NULL")
+def order_by_checksum(spark, sf_dir):
+    """ALTER TABLE ... ORDER BY moves rows only: CHECKSUM TABLE stays."""
+    e = nations(spark, sf_dir)
+    before = e.checksum("nation", "missing").withColumnRenamed("checksum", "old")
+    e.order_by("nation", F.desc("n_name"))
+    return before.join(e.checksum("nation", "missing"), "table_name").select("table_name", (c("old") == c("checksum")).alias("same"))
+
+
 @op("ddl_view_read", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
 def view(spark, sf_dir):
     e = nations(spark, sf_dir)

@@ -79,6 +79,22 @@ def json_table(spark, sf_dir):
     return cells.select((c("pos") + 1).alias("ord"), c("col.name").alias("name"), c("col.qty").alias("qty"), c("col.name").isNotNull().alias("has_name"))
 
 
+@op("json_table_nested", "SELECT * FROM (VALUES (1, 1, 'x', 1, 1, 1, 10), (1, 1, 'x', 1, 1, 2, 20), (1, 2, NULL, -1, 0, NULL, NULL), (1, 3, 'z', 0, 1, 1, NULL), (2, 1, 'w', 7, 1, NULL, NULL)) t(k, ord, name, qty, has_name, part, size)")
+def json_table_nested(spark, sf_dir):
+    """JSON_TABLE over a table's documents: row path, NESTED PATH, defaults ON EMPTY (-1) and ON ERROR (0)."""
+    docs = """(1, '{"r": [{"name": "x", "qty": 1, "p": [{"s": 10}, {"s": 20}]}, {"p": []}, {"name": "z", "qty": "no", "p": [{"s": null}]}]}'), (2, '{"r": [{"name": "w", "qty": 7}]}'), (3, '{}'), (4, NULL), (5, '{bad')"""
+    return J.json_table(
+        rows(spark, docs, "k, doc"), "doc", "$.r[*]", J.Ordinality("ord"), J.PathColumn("name", "string", "$.name"), J.PathColumn("qty", "int", "$.qty", -1, 0), J.ExistsColumn("has_name", "$.name"), J.Nested("$.p[*]", (J.Ordinality("part"), J.PathColumn("size", "int", "$.s")))
+    ).drop("doc")
+
+
+@op("json_table_events", "SELECT event_id, 1 AS ord, json_extract_string(props, '$.k')::INT AS k, (json_extract_string(props, '$.k') IS NOT NULL)::INT AS has_k FROM events")
+def json_table_events(spark, sf_dir):
+    """JSON_TABLE over every event, each document one row."""
+    events = table(spark, sf_dir, "events").select("event_id", "props")
+    return J.json_table(events, "props", "$", J.Ordinality("ord"), J.PathColumn("k", "int", "$.k"), J.ExistsColumn("has_k", "$.k")).drop("props")
+
+
 @op("agg_json_arrays_objects", "SELECT n_regionkey AS r, '[' || string_agg(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey::VARCHAR ELSE 'null' END, ',' ORDER BY CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END NULLS FIRST) || ']' AS a, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_name) || '}' AS o FROM nation GROUP BY n_regionkey")
 def agg_json(spark, sf_dir):
     return table(spark, sf_dir, "nation").groupBy(c("n_regionkey").alias("r")).agg(J.json_arrayagg(F.when(c("n_nationkey") % 2 == 0, c("n_nationkey"))).alias("a"), J.json_objectagg(c("n_name"), c("n_nationkey")).alias("o"))
@@ -92,6 +108,15 @@ def window_json(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(c("n_nationkey").alias("k"), F.to_json(F.transform(F.array_sort(held), lambda s: s.x)).alias("a"))
 
 
+@op("window_json_objectagg", "SELECT n_nationkey AS k, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_name) OVER (PARTITION BY n_regionkey) || '}' AS o FROM nation")
+def window_json_objects(spark, sf_dir):
+    """JSON_OBJECTAGG OVER: the keys of the window's rows in order."""
+    from pyspark.sql.window import Window
+
+    pairs = F.collect_list(F.struct(c("n_name").alias("k"), c("n_nationkey").alias("v"))).over(Window.partitionBy("n_regionkey"))
+    return table(spark, sf_dir, "nation").select(c("n_nationkey").alias("k"), F.to_json(F.map_from_entries(F.array_sort(pairs))).alias("o"))
+
+
 # -- full text (2.17) ---------------------------------------------------------------------------------------------
 _TOK = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_'']+'), lambda w: length(w) >= 3 AND w NOT IN ('about', 'are', 'com', 'for', 'from', 'how', 'that', 'the', 'this', 'was', 'what', 'when', 'where', 'who', 'will', 'with', 'und', 'www'))"
 _QUERY = "thing then heing nation"
@@ -122,6 +147,15 @@ def expansion(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.natural_score(c("text"), "nation").alias("score"))
 
 
+@op("fulltext_relevance_order", f"SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM (SELECT doc_id, len(list_filter({_TOK}, lambda w: w IN ('thing', 'then', 'heing', 'nation')))::DOUBLE AS score FROM documents) t WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
+def relevance_order(spark, sf_dir):
+    """MATCH in WHERE without ORDER BY: the rows that match, most relevant first, ties by key; a report of the first 20."""
+    from pyspark.sql.window import Window
+
+    best = X.search(table(spark, sf_dir, "documents"), "doc_id", "text", _QUERY).limit(20)
+    return best.select("doc_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("place"))
+
+
 # -- spatial (2.15) -----------------------------------------------------------------------------------------------
 @op("spatial_points", "SELECT s_suppkey AS k, 'POINT(' || s_suppkey || ' ' || s_nationkey || ')' AS p, s_suppkey::DOUBLE AS x, s_nationkey::DOUBLE AS y, round(sqrt(power(s_suppkey - 3, 2) + power(s_nationkey - 4, 2)), 9) AS d, 0 AS srid, 4326 AS srid2, 'POINT' AS kind FROM supplier")
 def spatial_points(spark, sf_dir):

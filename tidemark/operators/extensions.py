@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.dialect import translate
+from tidemark.plans.routines import Routines
 from tidemark.plans.views import run_sql
 from tidemark.registry import op
 from tidemark.session import table
@@ -27,6 +28,17 @@ mysql("dialect_straight_join_dual", "SELECT n_name, r_name, one FROM nation STRA
 mysql("dialect_user_variables", "SELECT n_nationkey FROM nation WHERE n_regionkey = @region AND n_name <> @name", "SELECT n_nationkey FROM nation WHERE n_regionkey = 2 AND n_name <> 'it''s'", region=2, name="it's")
 
 
+mysql("dialect_literals", "SELECT n_nationkey AS k, b'101' + 0b11 AS bits, CONVERT(CONCAT(n_name, 'ë') USING ascii) AS a, TIMESTAMP '2024-01-02 03:04:05' AS ts, DATE '2024-02-29' AS d, HEX(0x4D2) AS h, 1.50 AS dec FROM nation", "SELECT n_nationkey AS k, 8 AS bits, n_name || '?' AS a, TIMESTAMP '2024-01-02 03:04:05' AS ts, DATE '2024-02-29' AS d, '04D2' AS h, 1.50 AS dec FROM nation")
+
+
+@op("procedure_call", "SELECT 55 AS total, 12 AS level")
+def procedure_call(spark, sf_dir):
+    """CREATE PROCEDURE with IN, OUT and INOUT parameters, and CALL."""
+    routines = Routines(spark)
+    routines.create("add_up", "IN n INT, OUT total INT, INOUT level INT", "DECLARE i INT DEFAULT 0; SET total = 0; WHILE i < n DO SET i = i + 1; SET total = total + i; END WHILE; IF total > 50 THEN SET level = level + n; END IF;")
+    return routines.call("add_up", 10, None, 2)
+
+
 @op("prepared_statement_parameters", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'O'")
 def prepared(spark, sf_dir):
     return run_sql(spark, sf_dir, "SELECT o_orderkey FROM orders WHERE o_totalprice > :least AND o_orderstatus = :status", least=100000, status="O")

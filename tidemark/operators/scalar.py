@@ -393,3 +393,44 @@ def unhex_address_kinds(spark, sf_dir):
 def random_bytes(spark, sf_dir):
     """RANDOM_BYTES(1 to 1024): the length asked for, and no two alike (but for the shortest)."""
     return rows(spark, "(1), (16), (200), (1024)", "n").select("n", F.octet_length(C.random_bytes(c("n"))).alias("size"), ((c("n") < 8) | (C.random_bytes(c("n")) != C.random_bytes(c("n")))).alias("differs"))
+
+
+@op("fn_convert_using_charset", "SELECT * FROM (VALUES ('abc', 'abc', 'abc', '616263', 'utf8mb4', 'binary', 'utf8mb4_bin', 'utf8mb4_general_ci'), ('Zoë €', 'Zo? ?', 'Zoë ?', '5A6FC3AB20E282AC', 'utf8mb4', 'binary', 'utf8mb4_bin', 'utf8mb4_general_ci'), (NULL, NULL, NULL, NULL, 'utf8mb4', 'binary', 'utf8mb4_bin', 'utf8mb4_general_ci')) t(s, ascii, latin1, bytes, cs, cs_bytes, co, co_ci)")
+def convert_using_charset(spark, sf_dir):
+    """CONVERT USING, CHARSET and COLLATION."""
+    s = c("s")
+    return rows(spark, "('abc'), ('Zoë €'), (NULL)", "s").select("s", S.convert_using(s, "ascii").alias("ascii"), S.convert_using(s, "latin1").alias("latin1"), F.hex(S.convert_using(s, "binary")).alias("bytes"), S.charset(s).alias("cs"), S.charset(s.cast("binary")).alias("cs_bytes"), S.collation(s).alias("co"), S.collation(F.collate(s, "UTF8_LCASE")).alias("co_ci"))
+
+
+@op("agg_group_concat_max_len", "SELECT c_nationkey AS k, left(string_agg(c_name, '; ' ORDER BY c_custkey), 256) AS names FROM customer GROUP BY c_nationkey")
+def group_concat_max_len(spark, sf_dir):
+    """GROUP_CONCAT cut at group_concat_max_len."""
+    return table(spark, sf_dir, "customer").groupBy(c("c_nationkey").alias("k")).agg(S.group_concat(c("c_name"), [c("c_custkey")], "; ", 256).alias("names"))
+
+
+@op("fn_fractional_seconds", "SELECT event_id, date_trunc('second', ts) AS p0, date_trunc('millisecond', ts) AS p3, ts AS p6 FROM events")
+def fractional_seconds(spark, sf_dir):
+    """TIMESTAMP(fsp), as NOW(fsp) cuts it."""
+    ts = c("ts").cast("timestamp_ntz")
+    return table(spark, sf_dir, "events").select("event_id", *(T.to_precision(ts, d).alias(f"p{d}") for d in (0, 3, 6)))
+
+
+@op("fn_from_unixtime_format", "SELECT o_orderkey AS k, make_timestamp((o_orderkey % 30000) * 1000003000000) AS ts, strftime(make_timestamp((o_orderkey % 30000) * 1000003000000), '%d.%m.%Y %H:%M:%S') AS t, NULL::TIMESTAMP AS none FROM orders")
+def from_unixtime_format(spark, sf_dir):
+    """FROM_UNIXTIME with and without a format; out of range is NULL."""
+    n = c("o_orderkey").cast("long") % 30000 * 1000003
+    return table(spark, sf_dir, "orders").select(c("o_orderkey").alias("k"), T.from_unixtime(n).alias("ts"), T.from_unixtime(n, "%d.%m.%Y %H:%i:%s").alias("t"), T.from_unixtime(-n - 1).alias("none"))
+
+
+@op("fn_str_to_date_names", "SELECT o_orderkey AS k, o_orderdate::TIMESTAMP AS a, o_orderdate::TIMESTAMP AS b FROM orders")
+def str_to_date_names(spark, sf_dir):
+    """STR_TO_DATE of month names and of text between, from what DATE_FORMAT gives."""
+    d = c("o_orderdate").cast("timestamp_ntz")
+    back = lambda pattern: T.str_to_date(T.date_format(d, pattern), pattern)
+    return table(spark, sf_dir, "orders").select(c("o_orderkey").alias("k"), back("%M %e, %Y").alias("a"), back("on the %d of %b in %Y, at %H:%i").alias("b"))
+
+
+@op("fn_uuid_short", "SELECT count(*) AS n, count(*) AS different, true AS positive FROM orders")
+def uuid_short(spark, sf_dir):
+    made = table(spark, sf_dir, "orders").select(C.uuid_short().alias("u"))
+    return made.agg(F.count("*").alias("n"), F.countDistinct("u").alias("different"), (F.min("u") > 0).alias("positive"))

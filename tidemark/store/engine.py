@@ -480,6 +480,11 @@ class Engine:
         d = self.tables[name].definition
         self._alter(name, d.columns, self.read(name), checks=(*d.checks, condition))
 
+    def order_by(self, name: str, *order: Col | str) -> None:
+        """ALTER TABLE ... ORDER BY: the files hold the rows in ranges of this order, so that scans of a range skip files."""
+        d = self.tables[name].definition
+        self._alter(name, d.columns, self.read(name).orderBy(*order))
+
     # -- triggers, snapshots, transactions ------------------------------------------------------------------------
     def trigger(self, name: str, when: str, change: Callable[[DataFrame], DataFrame | None]) -> None:
         """A trigger as a function of a statement's rows, all at once.
@@ -547,12 +552,69 @@ class Engine:
         if what == "columns":
             rows = [(n, c.name, i, c.type, "NO" if not c.nullable or c.name in t.definition.primary_key else "YES", "PRI" if c.name in t.definition.primary_key else "UNI" if (c.name,) in t.definition.unique else "") for n, t in self.tables.items() for i, c in enumerate(t.definition.columns, 1)]
             return self.spark.createDataFrame(rows, "table_name string, column_name string, ordinal_position int, data_type string, is_nullable string, column_key string")
+        if what == "table_constraints":
+            return self.spark.createDataFrame([(n, *k) for n, t in self.tables.items() for k in _constraints(t.definition)], "table_name string, constraint_name string, constraint_type string")
+        if what == "key_column_usage":
+            rows = [(n, label, c, i, parent, other) for n, t in self.tables.items() for label, columns, parent, others in _key_columns(t.definition) for i, (c, other) in enumerate(zip(columns, others, strict=True), 1)]
+            return self.spark.createDataFrame(rows, "table_name string, constraint_name string, column_name string, ordinal_position int, referenced_table_name string, referenced_column_name string")
+        if what == "referential_constraints":
+            rows = [(n, f"fk_{i}", k.parent, k.on_delete.upper()) for n, t in self.tables.items() for i, k in enumerate(t.definition.foreign_keys, 1)]
+            return self.spark.createDataFrame(rows, "table_name string, constraint_name string, referenced_table_name string, delete_rule string")
+        if what == "triggers":
+            return self.spark.createDataFrame([(n, when) for (n, when), all_ in self.triggers.items() for _ in all_], "table_name string, event string")
+        if what != "views":
+            raise KeyError(what)
         return self.spark.createDataFrame(list(self.views.items()), "table_name string, view_definition string")
 
+    def show_tables(self, pattern: str = "%") -> DataFrame:
+        """SHOW FULL TABLES LIKE pattern."""
+        return self.information_schema("tables").filter(F.col("table_name").ilike(pattern)).select("table_name", "table_type")
+
+    def show_index(self, name: str) -> DataFrame:
+        """SHOW INDEX: the columns of the primary and unique keys."""
+        keys = self.information_schema("key_column_usage").filter((F.col("table_name") == name) & F.col("referenced_table_name").isNull())
+        return keys.select("table_name", F.col("constraint_name").alias("key_name"), F.col("ordinal_position").alias("seq_in_index"), "column_name")
+
+    def show_create(self, name: str) -> str:
+        """SHOW CREATE TABLE, or VIEW."""
+        if name in self.views:
+            return f"CREATE VIEW `{name}` AS {self.views[name]}"
+        d = self.tables[name].definition
+        quoted = lambda columns: ", ".join(f"`{c}`" for c in columns)
+        lines = [f"`{c.name}` {c.type}" + ("" if c.nullable else " NOT NULL") + (" AUTO_INCREMENT" if c.auto_increment else "") + (f" GENERATED ALWAYS AS ({c.generated})" if c.generated else "") for c in d.columns]
+        lines += [f"PRIMARY KEY ({quoted(d.primary_key)})"] if d.primary_key else []
+        lines += [f"UNIQUE KEY ({quoted(k)})" for k in d.unique] + [f"CHECK ({x})" for x in d.checks]
+        lines += [f"FOREIGN KEY ({quoted(k.columns)}) REFERENCES `{k.parent}` ({quoted(k.parent_columns)}) ON DELETE {k.on_delete.upper()}" for k in d.foreign_keys]
+        return f"CREATE TABLE `{name}` (\n  " + ",\n  ".join(lines) + "\n)"
+
+    def checksum(self, *names: str) -> DataFrame:
+        """CHECKSUM TABLE: the sum of the rows' CRC-32 of their JSON, whatever their order; NULL for no such table."""
+        out = None
+        for n in names:
+            if n in self.tables:
+                row = F.crc32(F.to_json(F.struct(*self.read(n).columns), {"ignoreNullFields": "false"}).cast("binary"))
+                one = self.read(n).agg(F.coalesce(F.sum(row), F.lit(0)).alias("checksum")).select(F.lit(n).alias("table_name"), "checksum")
+            else:
+                one = self.spark.range(1).select(F.lit(n).alias("table_name"), F.lit(None).cast("long").alias("checksum"))
+            out = one if out is None else out.unionByName(one)
+        return out
+
     def describe(self, name: str) -> DataFrame:
         return self.information_schema("columns").filter(F.col("table_name") == name).orderBy("ordinal_position")
 
 
+def _key_columns(d: TableDef) -> list[tuple]:
+    """Name, columns, and for foreign keys the parent and its columns."""
+    found = [("PRIMARY", d.primary_key, None, (None,) * len(d.primary_key))] if d.primary_key else []
+    found += [(f"unique_{i}", k, None, (None,) * len(k)) for i, k in enumerate(d.unique, 1)]
+    return found + [(f"fk_{i}", k.columns, k.parent, k.parent_columns) for i, k in enumerate(d.foreign_keys, 1)]
+
+
+def _constraints(d: TableDef) -> list[tuple[str, str]]:
+    kinds = [(label, "PRIMARY KEY" if label == "PRIMARY" else "FOREIGN KEY" if parent else "UNIQUE") for label, _, parent, _ in _key_columns(d)]
+    return kinds + [(f"check_{i}", "CHECK") for i, _ in enumerate(d.checks, 1)]
+
+
 def numbered(df: DataFrame, name: str, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """df with a column of row numbers from 0 in its order, without gathering rows: places in partitions and their sizes.
 
