@@ -241,3 +241,28 @@ def point_precision(spark, sf_dir):
     """Coordinates go through POINT, ST_X and ST_Y unrounded."""
     g = G.point(c("x"), c("y"))
     return spark.createDataFrame([(1.5e-11, 2.123456789012), (1e20, -0.1), (3.0, -7.0)], "x double, y double").select(G.coordinate(g, 0).alias("x"), G.coordinate(g, 1).alias("y"))
+
+
+@op("spatial_validity", """SELECT * FROM (VALUES ('POLYGON((0 0,4 0,4 4,0 4,0 0))', 1, 'POLYGON((0 0,4 0,4 4,0 4,0 0))'), ('POLYGON((0 0,4 4,4 0,0 4,0 0))', 0, NULL), ('POLYGON((0 0,9 0,9 9,0 9,0 0),(1 1,2 1,2 2,1 1))', 1, 'POLYGON((0 0,9 0,9 9,0 9,0 0),(1 1,2 1,2 2,1 1))'), ('POLYGON((0 0,2 0,2 2,0 0),(5 5,6 5,6 6,5 5))', 0, NULL),
+ ('LINESTRING(1 1,1 1)', 0, NULL), ('LINESTRING(0 0,1 1)', 1, 'LINESTRING(0 0,1 1)'), ('POINT(1 2)', 1, 'POINT(1 2)'), ('MULTIPOLYGON(((0 0,4 4,4 0,0 4,0 0)),((0 0,1 0,1 1,0 0)))', 0, NULL), (NULL, NULL, NULL)) t(g, ok, valid)""")
+def spatial_validity(spark, sf_dir):
+    """ST_ISVALID and ST_VALIDATE."""
+    texts = ("POLYGON((0 0,4 0,4 4,0 4,0 0))", "POLYGON((0 0,4 4,4 0,0 4,0 0))", "POLYGON((0 0,9 0,9 9,0 9,0 0),(1 1,2 1,2 2,1 1))", "POLYGON((0 0,2 0,2 2,0 0),(5 5,6 5,6 6,5 5))", "LINESTRING(1 1,1 1)", "LINESTRING(0 0,1 1)", "POINT(1 2)", "MULTIPOLYGON(((0 0,4 4,4 0,0 4,0 0)),((0 0,1 0,1 1,0 0)))")
+    shapes = rows(spark, ", ".join(f"('{t}')" for t in texts) + ", (NULL)", "g")
+    return shapes.select("g", G.is_valid(c("g")).alias("ok"), G.validate(c("g")).alias("valid"))
+
+
+@op("spatial_point_setters", "SELECT s_suppkey AS k, 'POINT(7 ' || s_nationkey || ')' AS x7, 'SRID=4326;POINT(' || s_suppkey || ' 0.5)' AS y05, s_suppkey::DOUBLE AS lon, s_nationkey::DOUBLE AS lat, NULL::DOUBLE AS flat FROM supplier")
+def spatial_point_setters(spark, sf_dir):
+    """ST_X and ST_Y with a value, ST_LONGITUDE and ST_LATITUDE."""
+    p = G.point(c("s_suppkey"), c("s_nationkey"))
+    globe = G.set_srid(p, 4326)
+    return table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("k"), G.with_coordinate(p, 0, F.lit(7)).alias("x7"), G.with_coordinate(globe, 1, F.lit(0.5)).alias("y05"), G.geographic(globe, 0).alias("lon"), G.geographic(globe, 1).alias("lat"), G.geographic(p, 1).alias("flat"))
+
+
+@op("spatial_collections", """SELECT * FROM (VALUES ('MULTIPOINT(1 1,2 2)', 2, 'POINT(2 2)', 0, NULL, 1), ('GEOMETRYCOLLECTION(POINT(1 1),LINESTRING(0 0,1 1))', 2, 'LINESTRING(0 0,1 1)', 0, NULL, 1), ('LINESTRING(0 0,4 0,4 4,0 0)', 1, NULL, 0, 1, 1), ('LINESTRING(0 0,4 4,4 0,0 4)', 1, NULL, 0, 0, 0), ('GEOMETRYCOLLECTION EMPTY', 0, NULL, 1, NULL, 1)) t(g, n, second, empty, closed, simple)""")
+def spatial_collections(spark, sf_dir):
+    """ST_NUMGEOMETRIES, ST_GEOMETRYN, ST_ISEMPTY, ST_ISCLOSED, ST_ISSIMPLE."""
+    g = c("g")
+    shapes = rows(spark, "('MULTIPOINT(1 1,2 2)'), ('GEOMETRYCOLLECTION(POINT(1 1),LINESTRING(0 0,1 1))'), ('LINESTRING(0 0,4 0,4 4,0 0)'), ('LINESTRING(0 0,4 4,4 0,0 4)'), ('GEOMETRYCOLLECTION EMPTY')", "g")
+    return shapes.select("g", G.count_of("numgeometries", g).alias("n"), G.derive("geometryn", g, 2).alias("second"), G.count_of("isempty", g).alias("empty"), G.count_of("isclosed", g).alias("closed"), G.count_of("issimple", g).alias("simple"))
