@@ -84,7 +84,7 @@ def test_json_table_raises_on_empty(spark):
 
 def test_relevance_without_words(spark):
     docs = spark.createDataFrame([(1, "alpha beta alpha"), (2, None), (3, ""), (4, "beta alpha")], "doc_id int, text string")
-    assert [(r.doc_id, r.score) for r in X.search(docs, "doc_id", "text", "alpha").collect()] == [(1, 2.0), (4, 1.0)]
+    assert [(r.doc_id, r.score) for r in X.search(docs, "doc_id", "text", "alpha").collect()] == [(1, 2 * X.BASE), (4, X.BASE)]
     assert X.search(docs, "doc_id", "text", "of").collect() == []
 
 
@@ -110,3 +110,8 @@ def test_procedure_returns_its_last_result(spark):
     r.drop("double_it")
     with pytest.raises(KeyError):
         r.call("double_it", 1)
+
+
+@pytest.mark.parametrize("query, score", [("alpha beta", 2.0), ("+alpha -beta", 0.0), (">alpha <beta", 2.5), ("~alpha", 0.0), ("gamma ~alpha", 0.0), ("beta ~alpha", 0.5), ("beta ~gamma", 1 + X.BASE), ("alp*", 2 * X.BASE), ('"beta alpha"', 1.0), ("+(alpha gamma) >beta", 3.0), ("+gamma alpha", 0.0), ("", 0.0), ("the", 0.0), ("~alpha <alpha", 0.001)])
+def test_boolean_relevance(spark, query, score):
+    assert one(spark, X.boolean_score(F.lit("Alpha, beta alpha the"), query)) == pytest.approx(score)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Relevance of an occurrence, weights of the signs of boolean mode, and the least relevance there.
+BASE, WEIGHTS, FAINT = 0.22764469683170319, {"": 1.0, "+": 1.0, ">": 2.0, "<": 0.5}, 0.001
 #: Least length of a token, and BM25's saturation and length normalisation.
 LEAST, K1, B = 3, 1.2, 0.75
 # Words that aren't searched for (the default list of the dialect).
@@ -24,10 +28,10 @@ def query_tokens(query: str) -> list[str]:
 
 
 def natural_score(text: Column, query: str) -> Column:
-    """The number of occurrences of the query's words in the text."""
+    """BASE for every occurrence of the query's words in the text."""
     found = tokens(text)
     wanted = query_tokens(query)
-    return F.size(F.filter(found, lambda w: w.isin(*wanted))).cast("double") if wanted else F.lit(0.0)
+    return F.size(F.filter(found, lambda w: w.isin(*wanted))) * F.lit(BASE) if wanted else F.lit(0.0)
 
 
 def search(df: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
@@ -95,3 +99,44 @@ def boolean_match(text: Column, query: str) -> Column:
         return out, at
 
     return group(0)[0]
+
+
+def boolean_score(text: Column, query: str) -> Column:
+    """The relevance of AGAINST (query IN BOOLEAN MODE): the weighted sum of the terms that are there, 0 without a match.
+
+    A word or a phrase counts 1, a prefix BASE an occurrence, a group its own relevance; > doubles and < halves. A ~
+    term takes half of its relevance off, or adds BASE if it isn't there. All + terms must be there, no - term may,
+    and without + terms one of the others (besides ~) must. The text is split once, and every term is a built-in
+    expression over its words.
+    """
+    words, lowered = tokens(text), F.lower(F.coalesce(text, F.lit("")))
+    parts = re.findall(r'[+\-~<>]*"[^"]*"|[+\-~<>]*\(|\)|[+\-~<>]*[\w\']+\*?', query.lower())
+    zero = F.lit(0.0)
+
+    def term_score(term: str) -> Column:
+        if term.startswith('"'):
+            return lowered.contains(term.strip('"')).cast("double")
+        if term.endswith("*"):
+            return F.size(F.filter(words, lambda w: w.startswith(term[:-1]))) * F.lit(BASE)
+        return F.array_contains(words, term).cast("double")
+
+    def group(at: int) -> tuple[Column, int]:
+        clauses: list[tuple[str, Column]] = []
+        while at < len(parts) and parts[at] != ")":
+            signs = re.match(r"[+\-~<>]*", parts[at])[0]
+            term = parts[at][len(signs) :]
+            if term == "(":
+                found, at = group(at + 1)
+            else:
+                found = term_score(term)
+            clauses.append((signs[-1:], found))
+            at += 1
+        of = lambda signs: [x for sign, x in clauses if sign in signs]
+        must, never, damped, may = of(("+",)), of(("-",)), of(("~",)), of(("", ">", "<"))
+        total = sum((WEIGHTS[sign] * x for sign, x in clauses if sign in WEIGHTS), zero)
+        total = sum((F.when(x > 0, -0.5 * x).otherwise(BASE) for x in damped), total)
+        hit = reduce(and_, (x > 0 for x in must)) if must else reduce(or_, (x > 0 for x in may), F.lit(False))
+        hit = reduce(and_, (x <= 0 for x in never), hit)
+        return F.when(hit, F.greatest(total, F.lit(FAINT))).otherwise(zero), at
+
+    return group(0)[0]

@@ -122,9 +122,9 @@ _TOK = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p
 _QUERY = "thing then heing nation"
 
 
-@op("fulltext_natural_language", f"SELECT doc_id, len(list_filter({_TOK}, lambda w: w IN ('thing', 'then', 'heing', 'nation')))::DOUBLE AS score FROM documents")
+@op("fulltext_natural_language", f"SELECT doc_id, round(len(list_filter({_TOK}, lambda w: w IN ('thing', 'then', 'heing', 'nation'))) * {X.BASE}::DOUBLE, 9) AS score FROM documents")
 def natural(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.natural_score(c("text"), _QUERY).alias("score"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(X.natural_score(c("text"), _QUERY), 9).alias("score"))
 
 
 @op("fulltext_bm25", f"""WITH d AS (SELECT doc_id, {_TOK} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
@@ -141,19 +141,28 @@ def boolean_mode(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.boolean_match(t, "+thing -then").alias("a"), X.boolean_match(t, "tion* heing").alias("b"), X.boolean_match(t, '"of the"').alias("p"))
 
 
-@op("fulltext_query_expansion", f"SELECT doc_id, len(list_filter({_TOK}, lambda w: w IN ('nation')))::DOUBLE AS score FROM documents")
+@op("fulltext_boolean_relevance", f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, {_TOK} AS w FROM documents),
+x AS (SELECT doc_id, list_contains(w, 'thing')::INT AS th, list_contains(w, 'then')::INT AS tn, list_contains(w, 'nation')::INT AS na, len(list_filter(w, lambda y: y LIKE 'tion%')) AS ti, (t LIKE '%of the%')::INT AS ph FROM d)
+SELECT doc_id, (CASE WHEN th = 1 AND tn = 0 THEN 1 + 2 * na ELSE 0 END)::DOUBLE AS a, round(CASE WHEN ti > 0 OR ph = 1 THEN {X.BASE}::DOUBLE * ti + 0.5 * ph ELSE 0 END::DOUBLE, 9) AS b, round(CASE WHEN th = 1 THEN 1 + CASE WHEN tn = 1 THEN -0.5 ELSE {X.BASE}::DOUBLE END ELSE 0 END::DOUBLE, 9) AS c FROM x""")
+def boolean_relevance(spark, sf_dir):
+    """Relevance in boolean mode: signs, a prefix, a phrase."""
+    t = c("text")
+    return table(spark, sf_dir, "documents").select("doc_id", X.boolean_score(t, "+thing -then >nation").alias("a"), F.round(X.boolean_score(t, 'tion* <"of the"'), 9).alias("b"), F.round(X.boolean_score(t, "thing ~then"), 9).alias("c"))
+
+
+@op("fulltext_query_expansion", f"SELECT doc_id, round(len(list_filter({_TOK}, lambda w: w IN ('nation'))) * {X.BASE}::DOUBLE, 9) AS score FROM documents")
 def expansion(spark, sf_dir):
     """WITH QUERY EXPANSION counts as natural language."""
-    return table(spark, sf_dir, "documents").select("doc_id", X.natural_score(c("text"), "nation").alias("score"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(X.natural_score(c("text"), "nation"), 9).alias("score"))
 
 
-@op("fulltext_relevance_order", f"SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM (SELECT doc_id, len(list_filter({_TOK}, lambda w: w IN ('thing', 'then', 'heing', 'nation')))::DOUBLE AS score FROM documents) t WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
+@op("fulltext_relevance_order", f"SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM (SELECT doc_id, round(len(list_filter({_TOK}, lambda w: w IN ('thing', 'then', 'heing', 'nation'))) * {X.BASE}::DOUBLE, 9) AS score FROM documents) t WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
 def relevance_order(spark, sf_dir):
     """MATCH in WHERE without ORDER BY: the rows that match, most relevant first, ties by key; a report of the first 20."""
     from pyspark.sql.window import Window
 
     best = X.search(table(spark, sf_dir, "documents"), "doc_id", "text", _QUERY).limit(20)
-    return best.select("doc_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("place"))
+    return best.select("doc_id", F.round("score", 9).alias("score"), F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("place"))
 
 
 # -- spatial (2.15) -----------------------------------------------------------------------------------------------
