@@ -180,3 +180,44 @@ def test_embeddings_repeated_ids_and_none(spark):
     assert rows == sorted([(1, 1, 1, True), (1, 0, 1, True), (None, 1, 1, False)], key=str)
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
     assert embed_dedup.near_duplicates(df.withColumn("embedding", F.lit(None).cast("array<float>"))).count() == 3
+
+
+def test_sets_that_reach_a_class_need_no_meeting_of_all():
+    """At 0.8 the least sets that reach into the next class fill fewer fragments than any of it can differ in, but more than they can."""
+    rng, cuts = np.random.default_rng(6), ngram_join.Cuts(80, 100)
+    for k in range(8, 14):
+        size = -(-cuts.limit(k) * 80 // 100)
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64)) * np.uint64(2)
+        b = a.copy()
+        b[: size // 9] = rng.integers(0, 2**63, size // 9).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        sets = ngram_join.Sets([], 5)
+        sets.sizes, sets.grams, sets.start, sets.some = np.array([size, size]), np.concatenate((a, np.sort(b))), np.array([0, size]), np.arange(2)
+        found, owner = ngram_join.contents(sets, np.array([0, 1]), cuts)
+        assert not (found & np.uint64(3) == 2).any()
+        common = set(found[owner == 0].tolist()) & set(found[owner == 1].tolist())
+        need = ngram_join.needs(sets, cuts)
+        for flag in (0, 1):
+            met = [x for x in common if x & 3 == flag]
+            assert not any(found & np.uint64(3) == flag) or len(met) >= need[flag].max()
+
+
+def test_passages_make_no_large_family(spark, monkeypatch):
+    """Texts that share frequent passages but aren't linked are compared by pairs that can be, not all with all."""
+    seen = []
+    plain = ngram_join._compare_families
+    monkeypatch.setattr(ngram_join, "_compare_families", lambda left, *rest: seen.append(left.groupBy("family").count().agg(F.max("count")).first()[0]) or plain(left, *rest))
+    r = random.Random(11)
+    passages = [[f"p{k}-{x}" for x in range(14)] for k in range(12)]
+    docs = {}
+    for _ in range(60):
+        base = [f"w{r.randrange(100_000)}" for _ in range(60)]
+        for p in r.sample(passages, 3):
+            base += p
+        for _ in range(2):
+            text = list(base)
+            for at in r.sample(range(60), 4):
+                text[at] = f"x{r.randrange(100_000)}"
+            docs[len(docs)] = " ".join(text)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, ngram_join.ngram_components(df, 5, 80, 100).collect())) == jaccard_brute(docs, 5, 80, 100)
+    assert (seen[0] or 0) <= 8

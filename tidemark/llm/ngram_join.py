@@ -7,12 +7,15 @@ Candidates: sets with a similarity of num/den or more differ in at most H n-gram
 least one is alike in both. The number of fragments goes by the sets' size: sizes fall into classes, a class reaches
 into the next one only, and each set is cut for its own class and the next. A fragment's content is hashed and sets
 meet where a content is the same. Empty fragments say nothing; a set with so few others that the bound would need
-them is cut by a second order, and one that fails there too meets all such sets of its class. So no link is lost.
+them is cut by a second order, and one that has no more of either than can differ meets all such sets of its class. So
+no link is lost.
 
 Star instead of all pairs: of the sets that share a content, each is compared with one (the least), so a group of
 near copies costs as many comparisons as it has members. Only where such a comparison fails are the members compared
 further, pair by pair, and only if they are not in one component yet. Sets whose content one task sees many times are
 known to meet others before the shuffle, so they spread over its partitions; the task's first one stays with the rest.
+What is compared further: linked sets have some contents in common, so each may leave out that many less one, its most
+frequent ones, and pairs of the rest that are alike enough in size and share of common n-grams make the families.
 
 Comparison: partial overlaps are counted fragment by fragment (PARTS ranges of the order) and summed per pair.
 
@@ -31,7 +34,7 @@ import pyarrow.parquet as pq
 import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace, join_spread
@@ -49,7 +52,10 @@ SET_COST = 200
 MEMO_WORDS, HELD_ROWS, LOCAL = 500_000, 1_500_000, 8
 #: Ids that are broadcast to pick the texts whose n-grams are compared; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Low bits of a content's hash: 1 on odd levels, 2 for the content that all sets of a class have that no order cuts well.
+#: Sets of a content up to which its pairs are listed before sets are put into families; of more, all fall into one.
+PAIRED = 256
+#: Low bits of a content's hash: 1 on odd levels, 2 for the content that all sets of a class have that no order cuts
+#: well, 3 for a mark that no one meets by: of sets that no order cuts into more fragments than any of the class can differ in.
 _FLAGS = np.uint64(3)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)  # fixed values: odd multipliers
 
@@ -164,11 +170,16 @@ class Cuts:
         h = self.differ(k)
         return h + 2 + -(-h * MARGIN // 100) if h else 0
 
+    def differs(self, size: int) -> tuple[int, int]:
+        """The most n-grams in which a linked set can differ from one of this size, on the level of its class and the next."""
+        most = size * self.den // self.num
+        own, above = ((size + partner) * (self.den - self.num) // (self.den + self.num) for partner in (min(most, self.limit(self.class_of(size) + 1) - 1), most))
+        return own, above
+
     def alike(self, size: int) -> tuple[int, int]:
         """The fragments that a linked set has in common at least, on its level that is even and on that which is odd."""
         k = self.class_of(size)
-        most = size * self.den // self.num
-        own, above = (max(1, self.differ(level) + 1 - (size + partner) * (self.den - self.num) // (self.den + self.num)) for level, partner in ((k, min(most, self.limit(k + 1) - 1)), (k + 1, most)))
+        own, above = (max(1, self.differ(k + up) + 1 - h) for up, h in enumerate(self.differs(size)))
         return (above, own) if k & 1 else (own, above)
 
 
@@ -182,6 +193,7 @@ def contents(sets: Sets, chosen: np.ndarray, cuts: Cuts) -> tuple[np.ndarray, np
         level = own + up
         m = np.array([cuts.fragments(int(k)) for k in level], np.uint64)
         h = np.array([cuts.differ(int(k)) for k in level], np.int64)
+        most = np.zeros(len(chosen), np.int64)
         if up:
             m *= np.array([cuts.reaches(int(n)) for n in sizes], np.uint64)
         left = np.flatnonzero(m)  # linked sets of the others are equal
@@ -203,13 +215,31 @@ def contents(sets: Sets, chosen: np.ndarray, cuts: Cuts) -> tuple[np.ndarray, np
             out.append((h64 & ~_FLAGS) | (level[lead] & 1).astype(np.uint64))
             owner.append(lead)
             filled = np.bincount(lead, minlength=len(chosen))
+            most = np.maximum(most, filled)
             left = left[filled[left] <= h[left]]
-        if len(left):
-            out.append((mix((level[left] * 16 + 15).astype(np.uint64) * _ODD[7]) & ~_FLAGS) | np.uint64(2))
-            owner.append(left)
+        own_h = np.array([cuts.differs(int(n))[up] for n in sizes[left]], np.int64)
+        for some, flag in ((left[most[left] <= own_h], 2), (left, 3)):
+            out.append((mix((level[some] * 16 + 15).astype(np.uint64) * _ODD[7]) & ~_FLAGS) | np.uint64(flag))
+            owner.append(some)
     return (np.concatenate(out), np.concatenate(owner)) if out else (sets.grams[:0], np.zeros(0, np.int64))
 
 
+def needs(sets: Sets, cuts: Cuts) -> np.ndarray:
+    """The contents that a linked set has in common with each set that isn't empty, at least: on even levels, on odd ones.
+
+    That is the fragments of the first order, which every set has the contents of, less those that can differ.
+    """
+    out = np.ones((2, len(sets.some)), np.int64)
+    for x, i in enumerate(sets.some.tolist()):
+        size = int(sets.sizes[i])
+        k = cuts.class_of(size)
+        for up, h in enumerate(cuts.differs(size)):
+            if (m := cuts.fragments(k + up)) and (not up or cuts.reaches(size)):
+                place = ((sets.of(i) >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+                out[(k + up) & 1, x] = max(1, 1 + np.count_nonzero(place[1:] != place[:-1]) - h)
+    return out
+
+
 POSTS = "content long, node long, pivot long"
 
 
@@ -314,17 +344,18 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
 
     # A fragment that no other set has differs from any partner's: sets with too few others are linked with none.
     flag = F.col("content").bitwiseAND(F.lit(3))
-    met = lists.groupBy("node").agg(F.count_if(flag == 0).alias("even"), F.count_if(flag == 1).alias("odd"), F.count_if(flag == 2).alias("free"))
-    nodes = ws.stage(met.join(each, "node").filter("even >= alike_even or odd >= alike_odd or free > 0").select("node", "id"), "nodes")
+    met = lists.groupBy("node").agg(F.count_if(flag == 0).alias("even"), F.count_if(flag == 1).alias("odd"), F.count_if(flag == 2).alias("free"), F.count_if(flag == 3).alias("marked"))
+    nodes = ws.stage(met.join(each, "node").filter("even >= alike_even or odd >= alike_odd or free > 0 or marked > 0 and even + odd > 0").select("node", "id"), "nodes")
     chosen = nodes.select("id").distinct()
     if nodes.count() <= BROADCAST_IDS:  # else the texts are shuffled by id
         chosen = F.broadcast(chosen)
     nodes = nodes.select("node")
-    lists = lists.join(nodes, "node", "left_semi")
+    lists = lists.filter(flag != 3).join(nodes, "node", "left_semi")
 
     # The n-grams of the nodes that meet others, by fragment of the order.
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = Cuts(num, den)
         for batch in batches:
             sets = Sets(batch.column(0).to_pylist(), width)
             node, part, grams = [], [], []
@@ -336,9 +367,10 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
                     part.append(p)
                     grams.append(found[edge[p] : edge[p + 1]].view(np.int64))
             size = np.repeat(sets.sizes[sets.some], PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(part, pa.int32()), pa.array(grams, pa.list_(pa.int64())), pa.array(size, pa.int32())], names=["node", "part", "grams", "n"])
+            need = np.repeat(needs(sets, cuts), PARTS, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(part, pa.int32()), pa.array(grams, pa.list_(pa.int64())), *(pa.array(x, pa.int32()) for x in (size, *need))], names=["node", "part", "grams", "n", "need_even", "need_odd"])
 
-    spelt = rows.join(chosen, rows.id.eqNullSafe(chosen.id), "left_semi").select("text").mapInArrow(spell, "node long, part int, grams array<long>, n int")
+    spelt = rows.join(chosen, rows.id.eqNullSafe(chosen.id), "left_semi").select("text").mapInArrow(spell, "node long, part int, grams array<long>, n int, need_even int, need_odd int")
     spelt = ws.stage(spelt.join(nodes, "node", "left_semi").dropDuplicates(["node", "part"]), "spelt")
     ws.release()
 
@@ -354,9 +386,10 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
     # clash counts one as shared, which keeps the bound.) What is left of a set is its share in common.
     grams = spelt.select("node", F.explode("grams").alias("g")).select("node", F.shiftright("g", 32).cast("int").alias("g")).repartition("g")
     own = grams.groupBy("g").agg(F.count("*").alias("sets"), F.min("node").alias("node")).filter("sets = 1").groupBy("node").agg(F.count("*").alias("own"))
-    able_nodes = spelt.filter("part = 0").select("node", "n").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).cast("int").alias("common"))
+    able_nodes = spelt.filter("part = 0").select("node", "n", "need_even", "need_odd").join(own, "node", "left").select("node", "n", "need_even", "need_odd", (F.col("n") - F.coalesce("own", F.lit(0))).cast("int").alias("common"))
     able_nodes = ws.stage(able_nodes.filter(F.col("common") * den >= F.col("n") * num), "able")
-    members = ws.stage(lists.join(able_nodes, "node"), "members")
+    need = F.when(flag == 0, F.col("need_even")).when(flag == 1, F.col("need_odd")).otherwise(1)
+    members = ws.stage(lists.join(able_nodes, "node").select("content", "node", "n", "common", need.alias("need")), "members")
     ws.drop("lists")
     ws.release()
 
@@ -374,13 +407,28 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
     ws.release()
     component = ws.stage(connected_components(tested.filter("linked").select("a", "b"), ws), "first-components")
 
-    # What is left: members of one content in different components. They fall into families (what contents connect); sets
+    # What is left: members of one content in different components, each without its most frequent contents but for as many
+    # as make one of those that it has in common with a linked set stay. They fall into families (what pairs connect); sets
     # of one family are compared in tiles of bounded size, and only links leave a comparison.
     here = ws.stage(members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")), "here")
     ws.drop("members")
-    split = here.groupBy("content").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("node").alias("lead"), F.count("*").alias("sets")).filter("x <> y").select("content", "lead", "sets")
-    here = join_spread(here, ws.stage(split, "split"), ["content"], "sets", n, F.col("node")).drop("sets")
-    family = connected_components(here.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), ws, "families")
+
+    def in_different(rows: DataFrame) -> DataFrame:
+        """The contents of rows that sets of different components have."""
+        return rows.groupBy("content").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("node").alias("lead"), F.count("*").alias("sets")).filter("x <> y").select("content", "lead", "sets")
+
+    here = join_spread(here, ws.stage(in_different(here), "split"), ["content"], "sets", n, F.col("node")).drop("lead")
+    level = Window.partitionBy("node", flag)
+    here = here.withColumn("place", F.row_number().over(level.orderBy("sets", "content"))).withColumn("met", F.count("*").over(level)).filter("place <= met - need + 1")
+    here = ws.stage(here.select("content", "node", "component", "n", "common"), "rare")
+    ws.drop("here")
+    n = here.count()
+    here = ws.stage(join_spread(here, ws.stage(in_different(here), "rare-split"), ["content"], "sets", n, F.col("node")), "rare-here")
+    few, many = here.filter(F.col("sets") <= PAIRED), here.filter(F.col("sets") > PAIRED)
+    other = few.select("content", *(F.col(c).alias(f"{c}_") for c in ("node", "component", "n", "common")))
+    pairs = few.join(other, "content").filter((F.col("node") < F.col("node_")) & (F.col("component") != F.col("component_")) & able("n", "n_", "common", "common_")).select(F.col("node").alias("a"), F.col("node_").alias("b"))
+    pairs = pairs.union(many.select("node", "lead")).distinct()
+    family = connected_components(pairs, ws, "families")
     left = ws.stage(family.select("node", F.col("component").alias("family")).join(here.select("node", "component", "n", "common").distinct(), "node"), "left")
     ws.release()
     more = ws.stage(_compare_families(left, spelt, num, den, ws), "more")
