@@ -1,11 +1,12 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import embed_dedup, ngram_join
-from tidemark.llm.common import Workspace, join_spread
+from tidemark.llm.common import Workspace, give_back, join_spread
 from tidemark.llm.components import connected_components
 from tidemark.llm.queries import QUERIES
 
@@ -221,3 +222,20 @@ def test_passages_make_no_large_family(spark, monkeypatch):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(2)
     assert sorted(map(tuple, ngram_join.ngram_components(df, 5, 80, 100).collect())) == jaccard_brute(docs, 5, 80, 100)
     assert (seen[0] or 0) <= 8
+
+
+def test_workers_keep_no_words_and_no_free_memory():
+    ngram_join.Sets(["a b c d e f"], 4)
+    assert ngram_join._hashes
+    ngram_join.forget()
+    assert not ngram_join._hashes
+
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    held = [bytes(60_000) for _ in range(2000)]
+    last = held[-1]
+    del held
+    before = resident()
+    give_back()
+    assert before - resident() > 60_000_000 and len(last) == 60_000

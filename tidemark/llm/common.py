@@ -1,14 +1,16 @@
-"""What the operators share: the folder all executors see, staged tables, Arrow batch bounds."""
+"""What the operators share: the folder all executors see, staged tables, Arrow batch bounds, workers' memory."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,13 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
             spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system: a Python worker keeps it else, also while it waits for tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset and the master is local (tests), a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)

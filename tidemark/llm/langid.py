@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import give_back
+
 #: Dimensions of the vectors, letters of an n-gram, and the steepness of the score in the cosine.
 DIMENSIONS, ORDER, STEEPNESS = 1024, 3, 12.0
 #: Documents and distinct n-grams that are multiplied at once.
@@ -146,6 +148,8 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", languag
             vectors = profiles(batch.column(1).to_pylist())
             for lang in set(langs.tolist()):
                 sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0, dtype=np.float64)
+            del vectors
+            give_back()
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
     rows = df.select(lang.alias("lang"), F.col(text_col).alias("text")).dropna().filter(F.col("lang").isin(names))
@@ -201,6 +205,8 @@ def floors(model: LanguageModel, df: DataFrame, share: float, text_col: str = "t
             cosine = (vectors * model.prototypes[own]).sum(axis=1) / np.where(norm > 0, norm, 1)
             found = np.stack([own, length_classes(texts), np.floor(cosine * STEPS).astype(np.int64)], axis=1)[use]
             key, n = np.unique(found, axis=0, return_counts=True)
+            del vectors, texts
+            give_back()
             yield pa.RecordBatch.from_arrays([*(pa.array(key[:, k]) for k in range(3)), pa.array(n)], names=["lang", "size", "step", "n"])
 
     rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
@@ -224,6 +230,7 @@ def known(model: LanguageModel, least: np.ndarray, text: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         texts = texts.tolist()
         lang, _, cosine = shared.predict(texts)
+        give_back()
         place = np.array([shared.languages.index(x) if x != UNKNOWN else -1 for x in lang], np.int64)
         return pd.Series((place >= 0) & (cosine >= least[place, length_classes(texts)]))
 

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, join_spread
+from tidemark.llm.common import Workspace, give_back, join_spread
 from tidemark.llm.components import connected_components
 
 #: Fragments that overlaps are counted in; orders that a set is cut by before it meets all of its class.
@@ -83,7 +83,14 @@ class WordHashes(dict):
         return found
 
 
-_hash_of = WordHashes().__getitem__
+_hashes = WordHashes()
+_hash_of = _hashes.__getitem__
+
+
+def forget() -> None:
+    """At a task's end: the worker holds neither words nor free memory until its next task."""
+    _hashes.clear()
+    give_back()
 
 
 class Sets:
@@ -277,6 +284,7 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
             row = np.arange(at, at + len(sets.sizes))
             at += len(row)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(row), pa.array(sets.sizes), *(pa.array(x, mask=sets.sizes == 0) for x in names)], names=["id", "row", "n", "node", "other"])
+        forget()
 
     @F.pandas_udf("alike_even long, alike_odd long")
     def alike(n):
@@ -304,6 +312,9 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
                 seen, held, count = set(), [], 0
         if held:
             yield _starred(*map(np.concatenate, zip(*held, strict=True)))
+            held.clear()
+        seen.clear()
+        forget()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by content, those whose content has two nodes or more."""
@@ -369,6 +380,7 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
             size = np.repeat(sets.sizes[sets.some], PARTS)
             need = np.repeat(needs(sets, cuts), PARTS, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(part, pa.int32()), pa.array(grams, pa.list_(pa.int64())), *(pa.array(x, pa.int32()) for x in (size, *need))], names=["node", "part", "grams", "n", "need_even", "need_odd"])
+        forget()
 
     spelt = rows.join(chosen, rows.id.eqNullSafe(chosen.id), "left_semi").select("text").mapInArrow(spell, "node long, part int, grams array<long>, n int, need_even int, need_odd int")
     spelt = ws.stage(spelt.join(nodes, "node", "left_semi").dropDuplicates(["node", "part"]), "spelt")

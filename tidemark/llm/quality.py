@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import give_back
+
 #: Labelled rows that the trees are fitted on at most.
 SAMPLE = 20_000
 #: Trees, their depth, bins of a feature, shrinkage, L2 of leaf values, least rows of a leaf.
@@ -143,6 +145,8 @@ def score(model: Trees, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(features(texts.tolist())))
+        found = pd.Series(model.score(features(texts.tolist())))
+        give_back()
+        return found
 
     return run(F.coalesce(text, F.lit("")))
