@@ -202,7 +202,8 @@ def test_sets_that_reach_a_class_need_no_meeting_of_all():
             assert not any(found & np.uint64(3) == flag) or len(met) >= need[flag].max()
 
 
-def test_passages_make_no_large_family(spark, monkeypatch):
+@pytest.mark.parametrize("width, num", [(4, 85), (5, 80)])
+def test_passages_make_no_large_family(spark, monkeypatch, width, num):
     """Texts that share frequent passages but aren't linked are compared by pairs that can be, not all with all."""
     seen = []
     plain = ngram_join._compare_families
@@ -220,7 +221,7 @@ def test_passages_make_no_large_family(spark, monkeypatch):
                 text[at] = f"x{r.randrange(100_000)}"
             docs[len(docs)] = " ".join(text)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(2)
-    assert sorted(map(tuple, ngram_join.ngram_components(df, 5, 80, 100).collect())) == jaccard_brute(docs, 5, 80, 100)
+    assert sorted(map(tuple, ngram_join.ngram_components(df, width, num, 100).collect())) == jaccard_brute(docs, width, num, 100)
     assert (seen[0] or 0) <= 8
 
 
