@@ -225,6 +225,24 @@ def test_passages_make_no_large_family(spark, monkeypatch, width, num):
     assert (seen[0] or 0) <= 8
 
 
+def test_tiles_of_a_family_are_compared_by_many_tasks(spark, monkeypatch):
+    """Names of pairs of tiles are few bytes, but each pair is a comparison; sets of one large component are compared with others only."""
+    monkeypatch.setattr(ngram_join, "TILE_GRAMS", 2000)
+    base, rows, spelt = list(range(1, 41)), [], []
+    for node in range(60):
+        grams = [*base[: 35 + node % 3], 1000 + node]
+        component = 100 if node < 30 else 200 + node  # a component beyond a tile, and sets alone
+        rows.append((node, 7, component, len(grams), len(grams)))
+        spelt += [(node, part, grams[10 * part : 10 * part + 10]) for part in range(4)]
+    left = spark.createDataFrame(rows, "node long, family long, component long, n int, common int")
+    parts = spark.createDataFrame(spelt, "node long, part int, grams array<long>")
+    links = ngram_join._compare_families(left, parts, 85, 100, Workspace(spark, "test")).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in links}) > 4
+    assert not any(r.a < 30 and r.b < 30 for r in links)
+    joined = find_all(range(60), [(r.a, r.b) for r in links] + [(k, k + 1) for k in range(29)])
+    assert set(joined.values()) == {0}
+
+
 def test_workers_keep_no_words_and_no_free_memory():
     ngram_join.Sets(["a b c d e f"], 4)
     assert ngram_join._hashes

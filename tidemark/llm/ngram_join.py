@@ -48,6 +48,8 @@ WIDTH, MARGIN = 3, 22
 TILE_GRAMS, FRAGMENT = 200_000, 4096
 #: N-grams that a set counts for besides its own, so that a tile has at most TILE_GRAMS / SET_COST sets.
 SET_COST = 200
+#: Tasks that pairs of tiles are dealt to at most.
+COMPARE_TASKS = 4096
 #: Words whose hashes a worker keeps; contents that a task holds before it passes them on; how often a task sees a content before it is joined there.
 MEMO_WORDS, HELD_ROWS, LOCAL = 500_000, 1_500_000, 8
 #: Ids that are broadcast to pick the texts whose n-grams are compared; more are joined by a shuffle.
@@ -524,8 +526,16 @@ def links_between(a: Tile, b: Tile, num: int, den: int) -> list[tuple[int, int]]
 def _compare_families(left: DataFrame, spelt: DataFrame, num: int, den: int, ws: Workspace) -> DataFrame:
     """Links (a, b) between the sets of left that are of one family and in different components."""
     grams = spelt.join(left.select("node"), "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("part", "grams"))).alias("g"))  # PARTS rows each
-    sizes = ws.stage(left.groupBy("family").agg(F.sum(F.col("n") + SET_COST).alias("size"), F.count("*").alias("sets")), "family-sizes")
-    rows = join_spread(left, sizes, ["family"], "sets", left.count(), F.col("node")).join(grams.select("node", F.flatten("g.grams").alias("grams")), "node").select("family", "size", "node", "component", F.col("n").cast("long").alias("n"), F.col("common").cast("long").alias("common"), "grams")
+    sizes = left.groupBy("family", "component").agg(F.sum(F.col("n") + SET_COST).alias("size"), F.count("*").alias("sets"))
+    # Components beyond a tile have tiles of their own (block), which aren't compared with each other.
+    own = F.col("size") > TILE_GRAMS
+    sizes = ws.stage(sizes.withColumn("own", own).withColumn("block", F.when(own, F.col("component")).otherwise(0)), "family-sizes")
+    blocks = sizes.groupBy("family", "own", "block").agg(F.sum("size").alias("block_size"), F.sum("sets").alias("block_sets"))
+    families = sizes.groupBy("family").agg(F.sum("size").alias("size"))
+    n = left.count()
+    rows = join_spread(left, sizes.drop("size"), ["family", "component"], "sets", n, F.col("node")).drop("sets")
+    rows = join_spread(rows, ws.stage(blocks.join(families, "family"), "blocks"), ["family", "own", "block"], "block_sets", n, F.col("node"))
+    rows = rows.join(grams.select("node", F.flatten("g.grams").alias("grams")), "node").select("family", "size", "own", "block", "block_size", "node", "component", F.col("n").cast("long").alias("n"), F.col("common").cast("long").alias("common"), "grams")
     rows = ws.stage(rows, "family-rows")
     result = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -543,28 +553,29 @@ def _compare_families(left: DataFrame, spelt: DataFrame, num: int, den: int, ws:
             out += links_between(tile, tile, num, den)
         return table(out)
 
-    total, largest = sizes.agg(F.coalesce(F.sum(F.when(F.col("size") <= TILE_GRAMS, F.col("size"))), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    total, largest = families.agg(F.coalesce(F.sum(F.when(F.col("size") <= TILE_GRAMS, F.col("size"))), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     bucket = F.pmod(F.xxhash64("family"), F.lit(max(64, total // (4 * TILE_GRAMS)))).cast("int")  # some tiles' n-grams each
-    small = rows.filter(F.col("size") <= TILE_GRAMS).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(within, LINKS)
+    small = rows.filter(F.col("size") <= TILE_GRAMS).drop("own", "block", "block_size").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(within, LINKS)
 
     if largest <= TILE_GRAMS:
         return small
 
     # Larger ones: tiles are files in the shared folder, and pairs of their names are dealt to tasks.
-    subs = F.ceil(F.col("size") / TILE_GRAMS).cast("long")
-    large = rows.filter(F.col("size") > TILE_GRAMS).withColumn("sub", F.pmod(F.xxhash64("node"), subs))
-    large.repartition("family", "sub").write.partitionBy("family", "sub").parquet(f"{ws.path}/tiles")
+    sub = F.pmod(F.xxhash64("node"), F.ceil(F.col("block_size") / TILE_GRAMS).cast("long"))
+    large = rows.filter(F.col("size") > TILE_GRAMS).withColumn("tile", F.concat_ws("_", F.col("own").cast("int"), "block", sub))
+    large.select("family", "tile", "node", "component", "n", "common", "grams").repartition("family", "tile").write.partitionBy("family", "tile").parquet(f"{ws.path}/tiles")
     root = f"{ws.path}/tiles"
-    names = large.select("family", "sub").distinct()
-    pairs = names.join(names.withColumnRenamed("sub", "other"), "family").filter("sub <= other")
+    names = ws.stage(large.select("family", "tile", F.when(F.col("own"), F.col("block")).alias("whole")).distinct(), "tile-names")
+    pairs = names.join(names.select("family", F.col("tile").alias("other"), F.col("whole").alias("whole_")), "family").filter("tile <= other and not coalesce(whole = whole_, false)").select("family", "tile", "other")
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for family, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = (load_tile(f"{root}/family={family}/sub={k}") for k in (x, y))
+                a, b = (load_tile(f"{root}/family={family}/tile={k}") for k in (x, y))
                 yield from table(links_between(a, b, num, den)).to_batches()
 
-    spread = pairs.select("family", "sub", "other").repartition(F.col("family"), F.col("sub"), F.col("other"))
+    # A pair's name is a few bytes and its comparison long: without a number, small partitions would become one task.
+    spread = pairs.repartition(min(max(1, pairs.count()), COMPARE_TASKS), "family", "tile", "other").sortWithinPartitions("family", "tile", "other")
     return small.unionByName(spread.mapInArrow(between, LINKS))
 
 
