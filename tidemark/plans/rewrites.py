@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def compare_any(left: Column, op: str, bounds: DataFrame, column: str) -> tuple[DataFrame, Column]:
@@ -66,3 +67,42 @@ def recursive_distinct(anchor: DataFrame, step: Callable[[DataFrame], DataFrame]
             return seen
         seen = seen.union(frontier).checkpoint()
     raise RuntimeError(f"the recursion goes on after {limit} rounds")
+
+
+#: Rows of a task where a plan deals them out by number: a task's memory then doesn't grow with the table.
+TASK_ROWS = 2_000_000
+
+
+def tasks(df: DataFrame) -> int:
+    """How many tasks to deal df's rows to; they are counted, which of a Parquet table reads the footers only."""
+    return df.count() // TASK_ROWS + 1
+
+
+#: Shares between which the exact median is looked for, around percentile_approx's 0.5; its error is a 10,000th of the rows.
+BRACKET, ACCURACY = (0.4995, 0.5, 0.5005), 10000
+
+
+def medians(df: DataFrame, key: str, value: str, near: str, exact: str) -> DataFrame:
+    """percentile_approx and the exact median of a number for each key that has one; no task gathers a key's values.
+
+    Two percentiles near the middle part a key's values in three. Counts tell which parts the middle ranks are in (the
+    inner one; any, should the sketch err), and only the different values of those are put in order. There is a row a
+    key in the broadcasts, so keys must be few.
+    """
+    v, low, high = F.col("_v"), F.expr("(_n + 1) div 2"), F.expr("(_n + 2) div 2")
+    rows = df.select(F.col(key), F.col(value).alias("_v")).filter(v.isNotNull())
+    bounds = rows.groupBy(key).agg(F.percentile_approx("_v", list(BRACKET), ACCURACY).alias("_p"), F.count("*").alias("_n"))
+    bounds = bounds.select(key, *(F.col("_p")[i].alias(n) for i, n in enumerate(("_from", near, "_to"))), "_n")
+
+    def beside(t: DataFrame) -> DataFrame:
+        t = t.withColumnRenamed(key, "_key")
+        return rows.join(F.broadcast(t), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+    parts = beside(bounds).groupBy(*bounds.columns).agg(F.count_if(v < F.col("_from")).alias("_a"), F.count_if(v <= F.col("_to")).alias("_b"))
+    before = F.when(v < F.col("_from"), F.lit(0)).when(v <= F.col("_to"), F.col("_a")).otherwise(F.col("_b"))
+    upto = F.when(v < F.col("_from"), F.col("_a")).when(v <= F.col("_to"), F.col("_b")).otherwise(F.col("_n"))
+    held = beside(parts).withColumn("_before", before).filter((F.col("_before") < high) & (upto >= low))
+    held = held.groupBy(key, near, "_n", "_before", "_v").agg(F.count("*").alias("_c"))
+    held = held.withColumn("_last", F.col("_before") + F.sum("_c").over(Window.partitionBy(key, "_before").orderBy("_v")))
+    share = sum(((F.col("_last") - F.col("_c") < r) & (r <= F.col("_last"))).cast("int") for r in (low, high))
+    return held.withColumn("_s", share / 2).filter("_s > 0").groupBy(key, near).agg(F.sum(v * F.col("_s")).alias(exact))
