@@ -1,5 +1,6 @@
 """Rewrites that keep a task's share bounded: against Spark's own results, DuckDB's SQL and literal values."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidemark import registry
@@ -35,3 +36,18 @@ def test_approximate_aggregates(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert " percentile(" not in plan and " median(" not in plan
     assert not any("count(distinct" in x for x in plan.splitlines())
+
+
+def test_lateral_takes_each_customers_best_order(spark, tmp_path):
+    """Orders of absent customers and of none count; the order within a customer is the SQL's, however rows are dealt."""
+    customers, nan = 40, float("nan")
+    rows = [(k, k * 7 % customers, float(k * 7919 % 1009)) for k in range(4000)] + [(5000, 99, 1.0), (5001, None, 1.0), (5002, None, 2.0), (5003, 98, None), (5004, 98, nan), (5005, 97, 3.0), (None, 97, 3.0)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").repartition(7).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k,) for k in range(customers)] + [(0,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    found = registry.queries()["ext_lateral"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert found.columns == ["c_custkey", "o_orderkey"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(con.execute(registry.oracle_sql()["ext_lateral"]).fetchall(), key=str)
+    ranks = [x for x in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Window [row_number()" in x]
+    assert ranks and all("o_totalprice" in x for x in ranks)
