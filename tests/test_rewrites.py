@@ -51,3 +51,16 @@ def test_lateral_takes_each_customers_best_order(spark, tmp_path):
     assert sorted(map(tuple, found.collect()), key=str) == sorted(con.execute(registry.oracle_sql()["ext_lateral"]).fetchall(), key=str)
     ranks = [x for x in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Window [row_number()" in x]
     assert ranks and all("o_totalprice" in x for x in ranks)
+
+
+def test_row_numbers_by_ranges(spark, tmp_path, monkeypatch):
+    """Many ranges, ties of the first key across them, null keys last as in the SQL; no task sorts the table."""
+    rows = [(k * 7919 % 3001, f"{k % 5}-P") for k in range(3001)] + [(None, "1-P"), (None, None), (4001, None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string").repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(rewrites, "TASK_ROWS", 100)
+    found = registry.queries()["sort_multi_key_null_order"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert found.columns == ["o_orderkey", "place"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(con.execute(registry.oracle_sql()["sort_multi_key_null_order"]).fetchall(), key=str)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -1,12 +1,19 @@
 """Relational queries: scans, projections, predicates, joins, sub-queries, grouping, windows, sorting, sets, CTEs.
 
-Each is one statement that Spark plans from the Parquet scans, beside the DuckDB statement with the same meaning.
+Each is one statement that Spark plans from the Parquet scans, beside the DuckDB statement with the same meaning; only
+a row number over a whole table is a plan of its own.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tidemark.operators.changes import scratch
+from tidemark.plans.rewrites import tasks
 from tidemark.plans.views import run_sql
 from tidemark.registry import op
+from tidemark.session import table
+from tidemark.store.engine import numbered
 
 
 def sql(name: str, spark_text: str, duck_text: str | None = None) -> None:
@@ -89,7 +96,21 @@ sql("window_default_frame", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_cu
 sql("window_in_expression", f"SELECT o_orderkey, o_orderkey - lag(o_orderkey, 1, o_orderkey) OVER ({_W}) AS gap, CASE WHEN row_number() OVER ({_W}) = 1 THEN 'first' ELSE 'later' END AS kind FROM orders")
 
 # -- sort, limit (2.7) --------------------------------------------------------------------------------------------
-sql("sort_multi_key_null_order", "SELECT o_orderkey, row_number() OVER (ORDER BY b DESC NULLS LAST, o_orderkey) AS place FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS b FROM orders) t")
+@op("sort_multi_key_null_order", "SELECT o_orderkey, row_number() OVER (ORDER BY b DESC NULLS LAST, o_orderkey) AS place FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS b FROM orders) t")
+def sort_multi_key(spark, sf_dir):
+    """A row number over the whole table: ranges of the order are sorted each by a task and numbered from their sizes."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    order = (F.when(key % 7 != 0, F.col("o_orderpriority")).desc_nulls_last(), key.asc_nulls_last())
+    rows = orders.repartitionByRange(tasks(orders), *order).sortWithinPartitions(*order).select(key)
+
+    def stage(df):
+        place = scratch(spark)
+        df.write.parquet(place)
+        return spark.read.schema(df.schema).parquet(place)
+
+    return numbered(rows, "place", stage).select(key, (F.col("place") + 1).cast("int").alias("place"))
+
+
 sql("sort_limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 sql("sort_top_k", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25")
 sql("sort_hidden_column", "SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 7")
